@@ -76,7 +76,7 @@ def fit_index(sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256,
     return IvfPq(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]), sample.shape[1])
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 20_000, probe_share: float = 0.4, min_probes: int = 8, rerank: int = 300, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def ann_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 20_000, probe_share: float = 0.6, min_probes: int = 8, rerank: int = 300, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """The k nearest found (Euclidean) of vectors for each row of queries, its own id left out: query_id, rank, vec_id, score.
 
     The index is fitted on the sample_rows rows lowest by hash of id, and holds every row: each has its list and codes. A query asks the
