@@ -61,11 +61,22 @@ def _lockstep(seqs: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray
     return order, padded, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
 
 
+def _alike(seqs: list[np.ndarray], most: int = 4_000_000) -> Iterator[list[int]]:
+    """Sequences of like length together, so that their padded table has most places at most (more only for one longer sequence)."""
+    group: list[int] = []
+    for i in sorted(range(len(seqs)), key=lambda i: -len(seqs[i])):
+        if group and len(seqs[group[0]]) * (len(group) + 1) > most:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def log_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of the probability of each sequence of classes: forward recursion, scaled at each step, all sequences in lockstep. Memory does not grow with length but for the sequences themselves."""
     out, emit = np.zeros(len(seqs)), np.ascontiguousarray(model.emit.T)
-    short = [i for i in range(len(seqs)) if len(seqs[i]) <= 4096]
-    for group in [short] * bool(short) + [[i] for i in range(len(seqs)) if len(seqs[i]) > 4096]:
+    for group in _alike(seqs):
         order, padded, active = _lockstep([seqs[i] for i in group])
         total = np.zeros(len(group))
         a = np.broadcast_to(model.start, (len(group), len(model.start)))
@@ -229,11 +240,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         place = {w: i for i, w in enumerate(counted["word"])}
         c = counted["c"].to_numpy()
         logs, seqs, rows = np.log10(c + 1.0), [], []
-        for doc, out, text, packed in zip(texts["doc_id"], texts["held_out"], texts["text"], texts["seq"], strict=True):
+        kinds = np.fromiter((zlib.crc32(w) % classes for w in counted["word"]), dtype=np.uint16, count=len(counted))
+        for doc, out, text in zip(texts["doc_id"], texts["held_out"], texts["text"], strict=True):
             tokens = words_of(text)
             tokens.append(END)
             at = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            seq = np.frombuffer(packed, dtype=np.uint16)
+            seq = kinds[at]
             own = float(logs[at].sum())
             rows.append((doc, out, len(at), int((c[at] > 0).sum()), n_train, own - len(at) * np.log10(n_train + v_train + 1.0), own - float(floor[seq].sum())))
             seqs.append(seq)
@@ -244,7 +256,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # one row for each group and distinct word of it: a frequent word has as many rows as there are groups
     counted = vocabulary.select("g", "word").join(counts.select("word", "c"), "word")
     ddl = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = grouped.groupBy("g").cogroup(counted.groupBy("g")).applyInPandas(score, ddl)
+    scored = grouped.drop("seq").groupBy("g").cogroup(counted.groupBy("g")).applyInPandas(score, ddl)
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
