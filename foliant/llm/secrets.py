@@ -91,10 +91,10 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
     clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", zero, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))))
-    columns = {c: F.col(c) for c in docs.columns} | {text_col: clean.alias(text_col)}
-    if length_col in columns:
-        columns[length_col] = F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length(clean).cast(docs.schema[length_col].dataType)).alias(length_col)
-    return joined.select(*columns.values())
+    out = joined.withColumn("_changed", F.col("_spans").isNotNull()).withColumn(text_col, clean)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col("_changed"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
