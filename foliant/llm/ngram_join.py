@@ -16,7 +16,7 @@ from foliant.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 4, 1_000_000
-BLOCK = 96
+BLOCK = 384
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's constants
 
 
@@ -56,9 +56,25 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_at_least(n: int) -> int:
+    """How many tokens the prefixes of two linked sets, the smaller of n, must share. More than one, so that a passage in common makes no candidates."""
+    return 1 + 6 * n // 100
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """So many first tokens, in one order, of two linked sets have one in common."""
-    return n - -(-percent * n // 100) + 1
+    """So many first tokens, in one order, of two linked sets have shared_at_least of the smaller in common."""
+    return min(n, n - -(-percent * n // 100) + shared_at_least(n))
+
+
+def packed_tokens(x: np.ndarray) -> bytes:
+    """The upper 48 bits of each token: tokens that agree there make more candidates, never fewer."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    x = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    x[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return x.reshape(-1).view("<u8")
 
 
 def components_of_pairs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -175,7 +191,7 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), home (a token by which like sets lie together) and prefix (tokens, 8 bytes each)."""
+    """doc_id, n_shingles, key (of the set), home (a token by which like sets lie together) and prefix (packed tokens)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("home", pa.int64()), ("prefix", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +203,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> Da
                 often = _member(s, hot)
                 ordered = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), percent)] if len(s) else s
                 home = (s[often] if 2 * often.sum() >= len(s) else s)[:1].view(np.int64)
-                for col, v in zip(rows, (doc, len(s), hashlib.md5(s.tobytes()).digest(), int(home[0]) if len(s) else None, ordered.tobytes()), strict=True):
+                for col, v in zip(rows, (doc, len(s), hashlib.md5(s.tobytes()).digest(), int(home[0]) if len(s) else None, packed_tokens(ordered)), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -202,43 +218,52 @@ def _merged(token, home, lo, hi):
     return token[new], home[new], (np.minimum.reduceat(lo, new) if len(new) else lo), (np.maximum.reduceat(hi, new) if len(new) else hi)
 
 
-def _candidate_homes(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different homes (a < b) with a common prefix token and sizes that allow a link."""
-    total = classes.agg(F.sum(F.length("prefix"))).head()[0] or 0
-    bits = max(4, int(total // 8 // 1_500_000).bit_length())
+def _candidate_homes(signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different homes (a < b) whose prefixes have enough tokens in common and whose sizes allow a link.
+
+    Copies have one home and the same tokens; they are merged before the shuffle, in each batch, and after it.
+    """
+    total = signed.agg(F.sum(F.length("prefix"))).head()[0] or 0
+    bits = max(4, int(total // 6 // 400_000).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in b.column(2)]
+            parts = [unpacked_tokens(x.as_py()) for x in b.column(2)]
             if not parts:
                 continue
             n = [len(p) for p in parts]
             home, size = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
             token, home, lo, hi = _merged(np.concatenate(parts), home, size, size)
             bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((home, bucket))  # homes in order are repeated bytes, which the shuffle compresses
+            token, home, lo, hi, bucket = (x[order] for x in (token, home, lo, hi, bucket))
             at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             spans = [(k, at[k], at[k + 1]) for k in range(1 << bits) if at[k] < at[k + 1]]
-            cols = [pa.array([k for k, _, _ in spans], pa.int64())] + [pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (token, home, lo.astype(np.int32), hi.astype(np.int32))]
+            cols = [pa.array([k for k, _, _ in spans], pa.int64()), pa.array([packed_tokens(token[i:j]) for _, i, j in spans], pa.binary())]
+            cols += [pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (home, lo.astype(np.int32), hi.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "token", "home", "lo", "hi"])
 
+    def summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby(["a", "b"], as_index=False, sort=False).agg({"n": "sum", "lo": "min"})
+
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = lambda c, t: np.frombuffer(b"".join(pdf[c]), dtype=t)
-        token, home, lo, hi = _merged(whole("token", np.uint64), whole("home", np.int64), whole("lo", np.int32).astype(np.int64), whole("hi", np.int32).astype(np.int64))
-        found, held, lag = [], 0, 1
+        token, home, lo, hi = _merged(unpacked_tokens(b"".join(pdf["token"])), whole("home", np.int64), whole("lo", np.int32).astype(np.int64), whole("hi", np.int32).astype(np.int64))
+        found, held, lag = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64)})], 0, 1
         at = np.arange(max(0, len(token) - 1))
         while len(at := at[at + lag < len(token)]) and len(at := at[token[at] == token[at + lag]]):
-            fit = (100 * hi[at + lag] >= percent * lo[at]) & (100 * hi[at] >= percent * lo[at + lag])
-            found.append(np.column_stack([home[at[fit]], home[at[fit] + lag]]))
-            held += int(fit.sum())
-            if held > 4_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
+            fit = at[(100 * hi[at + lag] >= percent * lo[at]) & (100 * hi[at] >= percent * lo[at + lag])]
+            found.append(pd.DataFrame({"a": home[fit], "b": home[fit + lag], "n": 1, "lo": np.minimum(lo[fit], lo[fit + lag])}))
+            held += len(fit)
+            if held > 500_000:
+                found = [summed(found)]
                 held = len(found[0])
             lag += 1
-        pairs = pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
-        return pairs.drop_duplicates()
+        return summed(found)
 
-    dealt = classes.select("home", "n_shingles", "prefix").mapInArrow(deal, "bucket long, token binary, home binary, lo binary, hi binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    dealt = signed.where("n_shingles > 0").select("home", "n_shingles", "prefix").mapInArrow(deal, "bucket long, token binary, home binary, lo binary, hi binary")
+    met = dealt.groupBy("bucket").applyInPandas(meet, "a long, b long, n long, lo long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
+    return met.where(F.col("n") >= 1 + F.floor(F.col("lo") * 6 / 100)).select("a", "b")
 
 
 def _verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
@@ -280,28 +305,29 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of size words (A-Z lowered, words [^\\x20\\x09-\\x0D]+).
     class_id is the smallest id with the same set; component_id the smallest that links reach; n_links counts linked documents, copies included. Hashes of 64 bits stand for shingles.
 
-    1. Documents of one set make a class; only classes go on. 2. Of two linked sets, the first tokens in one global order share one: these go, packed, to
-    buckets by hash, where homes (blocks of like sets) that meet become candidates. 3. Each pair of blocks of at most about BLOCK sets is joined with a prefix tree, in a task that needs only those.
-    Nothing is capped: a large group of near copies has many blocks, whose pairs are dealt over all tasks.
+    1. Documents of one set make a class. 2. Of two linked sets, the first tokens in one global order share some: these go, packed, to
+    buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. Homes that candidates connect are an area, cut into blocks of about BLOCK sets;
+    each block, and each pair of blocks with a candidate, is joined with a prefix tree in a task that needs only those. Nothing is capped: a large group of near copies has many blocks, whose pairs are dealt over all tasks.
 
     Null ids take no part and are not returned. Null and empty texts, or ones without words, have no shingles and link with nothing: each is its own component. Repeated rows are returned each, and are copies of each other;
     rows of one id with different texts are judged by their texts. Columns beside the two are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = materialise(_signatures(docs, size, percent, _hot_tokens(docs, size)), "shingles")
-    classes = materialise(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("home").alias("home"), F.min("prefix").alias("prefix")), "classes")
-    homes = classes.groupBy("home").agg(F.count("*").alias("n")).select("home", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n")
-    across = materialise(_candidate_homes(classes, percent), "homes")
-    several = homes.where("n > 1").select(F.col("home").alias("a"), F.col("home").alias("b"))
-    pairs = across.unionAll(several)
-    last = lambda c: F.col(c) - 1
-    sized = pairs.join(homes.select(F.col("home").alias("a"), F.col("blocks").alias("na")), "a").join(homes.select(F.col("home").alias("b"), F.col("blocks").alias("nb")), "b")
-    split = sized.withColumn("sa", F.explode(F.sequence(F.lit(0), last("na")))).withColumn("sb", F.explode(F.sequence(F.lit(0), last("nb")))).where("a <> b or sa <= sb")
-    tasks = split.select(F.md5(F.concat_ws(" ", "a", "sa", "b", "sb")).alias("task"), "a", "sa", "b", "sb")
-    sides = tasks.select("task", F.lit(0).alias("side"), F.col("a").alias("home"), F.col("sa").alias("sub")).unionAll(tasks.where("a <> b or sa <> sb").select("task", F.lit(1).alias("side"), F.col("b").alias("home"), F.col("sb").alias("sub")))
-    wanted = classes.select("rep", "key", "copies", "home").join(homes, "home").withColumn("sub", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    touched = pairs.select(F.col("a").alias("home")).unionAll(pairs.select(F.col("b").alias("home"))).distinct()
-    wanted = wanted.join(touched, "home", "left_semi").select("rep", "key", "copies", "home", "sub")
+    classes = materialise(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("home").alias("home")), "classes")
+    across = materialise(_candidate_homes(signed, percent), "homes")
+    near = connected_components(across)
+    homes = classes.groupBy("home").agg(F.count("*").alias("n")).join(near.withColumnRenamed("node", "home"), "home", "left").where("n > 1 or component is not null")
+    homes = homes.select("home", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.coalesce("component", "home").alias("area"))
+    homes = materialise(homes.join(homes.groupBy("area").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "area"), "areas")
+    block = F.pmod(F.xxhash64("home", "part"), F.col("blocks")).cast("int").alias("block")
+    units = homes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("home", "part", "area", block)
+    one, two = (units.select(F.col("home").alias(h), F.col("part").alias(f"p{h}"), F.col("area").alias(f"area{h}"), F.col("block").alias(f"k{h}")) for h in "ab")
+    pairs = across.unionAll(homes.where("n > 1").select(F.col("home").alias("a"), F.col("home").alias("b")))
+    tasks = pairs.join(one, "a").join(two, "b").where("a <> b or pa <= pb").select(F.col("areaa").alias("area"), F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j")).distinct()
+    tasks = tasks.select(F.md5(F.concat_ws(" ", "area", "i", "j")).alias("task"), "area", "i", "j")
+    sides = tasks.select("task", F.lit(0).alias("side"), "area", F.col("i").alias("block")).unionAll(tasks.where("i <> j").select("task", F.lit(1).alias("side"), "area", F.col("j").alias("block")))
+    wanted = classes.select("rep", "key", "copies", "home").join(homes, "home").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")).select("rep", "key", "copies", "area", block)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
@@ -309,10 +335,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             keys = b.column(1).to_pylist()
             found = [shingle_set(t.as_py(), size, hashes).tobytes() for t in b.column(5)]
             same = pa.array([hashlib.md5(s).digest() == k for s, k in zip(found, keys, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.binary())], names=["rep", "key", "copies", "home", "sub", "tokens"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.binary())], names=["rep", "key", "copies", "area", "block", "tokens"]).filter(same)
 
-    full = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "key", "copies", "home", "sub", "text").mapInArrow(sets, "rep long, key binary, copies long, home long, sub int, tokens binary")
-    shipped = sides.join(materialise(full, "sets"), ["home", "sub"]).repartition("task").sortWithinPartitions("task")
+    full = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "key", "copies", "area", "block", "text").mapInArrow(sets, "rep long, key binary, copies long, area long, block int, tokens binary")
+    shipped = sides.join(full, ["area", "block"]).repartition("task").sortWithinPartitions("task")
     found = materialise(_verified(shipped, size, percent), "links")
     component = connected_components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
