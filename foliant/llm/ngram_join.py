@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from foliant.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 4, 1_000_000
-BLOCK = 384
+BLOCK, GUESTS, WEIGHT = 384, 1536, 2000  # sets of a unit, and of the units that one task compares with it; a set counts once more for each so many shingles
+RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's constants
 
 
@@ -266,37 +268,104 @@ def _candidate_homes(signed: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("n") >= 1 + F.floor(F.col("lo") * 6 / 100)).select("a", "b")
 
 
-def _verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
-    """tasks: rows of text by task (la, lb, a block of sets, or two) and side. Gives (a, b, links): edges that span the links of each task, and with a = b and links above 0 how many documents each set links to."""
+def packed_sets(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Sizes, vocabulary and steps of sorted sets: each set is its places in their common vocabulary, as compressed differences. Near copies take some bits a token."""
+    import zstandard
+
+    vocab, places = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], dtype="<u4")
+    steps = np.diff(places, prepend=0)
+    starts = np.cumsum(sizes[:-1], dtype=np.int64)
+    steps[starts] = places[starts]
+    planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return sizes.tobytes(), vocab.astype("<u8").tobytes(), zstandard.ZstdCompressor(level=6).compress(planes)
+
+
+def unpacked_sets(sizes: bytes, vocab: bytes, steps: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(steps), dtype=np.uint8)
+    each = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+    words = np.frombuffer(vocab, dtype="<u8")
+    return [words[np.cumsum(x)] for x in np.split(each, np.cumsum(np.frombuffer(sizes, dtype="<u4"), dtype=np.int64)[:-1])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sides = None, ({}, {})
+
+_PACK = "reps binary, copies binary, sizes binary, vocab binary, steps binary"
+
+
+def _packs(texts: DataFrame, size: int) -> DataFrame:
+    """texts: rep, key, copies, home, part and text, by home and part. Gives one row a unit, with its sets packed. Texts of another set than key's, as rows of one id can have, are left out."""
+    schema = pa.schema([("home", pa.int64()), ("part", pa.int32()), *((c.split()[0], pa.binary()) for c in _PACK.split(", "))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, hashes = None, {}, _WordHash()
 
         def close() -> pa.RecordBatch:
-            left, right = ([*s.items()] for s in sides)
-            sets = lambda side: [np.frombuffer(v[1], dtype=np.uint64) for _, v in side]
-            alone = not right
-            pairs = tree_join(sets(left), None if alone else sets(right), percent) if left else []
-            right = left if alone else right
-            links: dict[int, int] = {}
-            for i, j in pairs:
-                (a, _), (n, _) = left[i]
-                (b, _), (m, _) = right[j]
-                links[a], links[b] = links.get(a, 0) + m, links.get(b, 0) + n
-            rows = [(a, b, 0) for a, b in components_of_pairs([(left[i][0][0], right[j][0][0]) for i, j in pairs])] + [(a, a, n) for a, n in links.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
-
-        for batch in batches:
-            for t, side, rep, key, copies, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != task:
-                    if task is not None:
+            reps, copies = (np.array(x, dtype="<i8").tobytes() for x in zip(*((r, n) for (r, _), (n, _) in held.items()), strict=True))
+            row = [*now, reps, copies, *packed_sets([s for _, s in held.values()])]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for i, (rep, key, copies, home, part) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)):
+                if (home, part) != now:
+                    if held:
                         yield close()
-                    task, sides = t, ({}, {})
-                sides[side][(rep, key)] = (copies, tokens)
-        if task is not None:
+                    now, held = (home, part), {}
+                if (rep, key) not in held:
+                    s = shingle_set(b.column(5)[i].as_py(), size, hashes)
+                    if hashlib.md5(s.tobytes()).digest() == key:
+                        held[rep, key] = (copies, s)
+        if held:
             yield close()
 
-    return tasks.select("task", "side", "rep", "key", "copies", "tokens").mapInArrow(run, "a long, b long, links long")
+    return texts.select("rep", "key", "copies", "home", "part", "text").mapInArrow(pack, f"home long, part int, {_PACK}")
+
+
+def _verified(tasks: DataFrame, percent: int) -> DataFrame:
+    """tasks: packed units by task: the host (side 0; alone if its own sets are to be compared), then its guests. Gives (a, b, links): edges that span the links of each task, and with a = b and links above 0 how many documents each set links to."""
+
+    def unpacked(units: list[list]) -> tuple[list[int], list[int], list[np.ndarray]]:
+        reps, copies = (np.frombuffer(b"".join(u[k] for u in units), dtype="<i8").tolist() for k in (0, 1))
+        return reps, copies, [s for _, _, *packed in units for s in unpacked_sets(*packed)]
+
+    def joined(host: list, alone: bool, guests: list[list]) -> pa.RecordBatch:
+        one, copies, left = unpacked([host])
+        linked = [(one[i], copies[i], one[j], copies[j]) for i, j in tree_join(left, None, percent)] if alone and len(left) > 1 else []
+        if guests:
+            two, others, right = unpacked(guests)
+            linked += [(two[i], others[i], one[j], copies[j]) for i, j in tree_join(right, left, percent)]
+        links: dict[int, int] = {}
+        for a, n, b, m in linked:
+            links[a], links[b] = links.get(a, 0) + m, links.get(b, 0) + n
+        rows = [(a, b, 0) for a, b in components_of_pairs([(a, b) for a, _, b, _ in linked])] + [(a, a, n) for a, n in links.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, host, first, guests = None, None, False, []
+        for b in batches:
+            for task, side, alone, *unit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if task != now:
+                    if host:
+                        yield joined(host, first, guests)
+                    now, host, first, guests = task, None, False, []
+                if side == 0:
+                    host, first = unit, alone
+                else:
+                    guests.append(unit)
+        if host:
+            yield joined(host, first, guests)
+
+    return tasks.select("task", "side", "alone", *(c.split()[0] for c in _PACK.split(", "))).mapInArrow(run, "a long, b long, links long")
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -306,8 +375,9 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     class_id is the smallest id with the same set; component_id the smallest that links reach; n_links counts linked documents, copies included. Hashes of 64 bits stand for shingles.
 
     1. Documents of one set make a class. 2. Of two linked sets, the first tokens in one global order share some: these go, packed, to
-    buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. Homes that candidates connect are an area, cut into blocks of about BLOCK sets;
-    each block, and each pair of blocks with a candidate, is joined with a prefix tree in a task that needs only those. Nothing is capped: a large group of near copies has many blocks, whose pairs are dealt over all tasks.
+    buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. The sets of a home are a unit, or several of about BLOCK sets, each packed once.
+    Of two candidates the larger home's units are hosts, and those of the other their guests, as are later units of one home. Each host is joined by prefix trees with itself and, in tasks of about GUESTS sets, with its guests.
+    Nothing is capped: a large group of near copies has many units, whose pairs are dealt over all tasks.
 
     Null ids take no part and are not returned. Null and empty texts, or ones without words, have no shingles and link with nothing: each is its own component. Repeated rows are returned each, and are copies of each other;
     rows of one id with different texts are judged by their texts. Columns beside the two are ignored. An empty table gives no rows.
@@ -316,30 +386,28 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     signed = materialise(_signatures(docs, size, percent, _hot_tokens(docs, size)), "shingles")
     classes = materialise(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("home").alias("home")), "classes")
     across = materialise(_candidate_homes(signed, percent), "homes")
-    near = connected_components(across)
-    homes = classes.groupBy("home").agg(F.count("*").alias("n")).join(near.withColumnRenamed("node", "home"), "home", "left").where("n > 1 or component is not null")
-    homes = homes.select("home", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.coalesce("component", "home").alias("area"))
-    homes = materialise(homes.join(homes.groupBy("area").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "area"), "areas")
-    block = F.pmod(F.xxhash64("home", "part"), F.col("blocks")).cast("int").alias("block")
-    units = homes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("home", "part", "area", block)
-    one, two = (units.select(F.col("home").alias(h), F.col("part").alias(f"p{h}"), F.col("area").alias(f"area{h}"), F.col("block").alias(f"k{h}")) for h in "ab")
-    pairs = across.unionAll(homes.where("n > 1").select(F.col("home").alias("a"), F.col("home").alias("b")))
-    tasks = pairs.join(one, "a").join(two, "b").where("a <> b or pa <= pb").select(F.col("areaa").alias("area"), F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j")).distinct()
-    tasks = tasks.select(F.md5(F.concat_ws(" ", "area", "i", "j")).alias("task"), "area", "i", "j")
-    sides = tasks.select("task", F.lit(0).alias("side"), "area", F.col("i").alias("block")).unionAll(tasks.where("i <> j").select("task", F.lit(1).alias("side"), "area", F.col("j").alias("block")))
-    wanted = classes.select("rep", "key", "copies", "home").join(homes, "home").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")).select("rep", "key", "copies", "area", block)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHash()
-        for b in batches:
-            keys = b.column(1).to_pylist()
-            found = [shingle_set(t.as_py(), size, hashes).tobytes() for t in b.column(5)]
-            same = pa.array([hashlib.md5(s).digest() == k for s, k in zip(found, keys, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.binary())], names=["rep", "key", "copies", "area", "block", "tokens"]).filter(same)
-
-    full = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "key", "copies", "area", "block", "text").mapInArrow(sets, "rep long, key binary, copies long, area long, block int, tokens binary")
-    shipped = sides.join(full, ["area", "block"]).repartition("task").sortWithinPartitions("task")
-    found = materialise(_verified(shipped, size, percent), "links")
+    ends = across.select(F.col("a").alias("home")).unionAll(across.select("b")).distinct().withColumn("met", F.lit(True))
+    weight = F.sum(F.lit(1) + F.floor(F.col("n_shingles") / WEIGHT))
+    homes = classes.groupBy("home").agg(F.count("*").alias("n"), weight.alias("w")).join(ends, "home", "left").where("n > 1 or met")
+    homes = materialise(homes.select("home", "w", F.ceil(F.col("w") / BLOCK).cast("int").alias("parts")), "units")
+    one, two = (homes.select(F.col("home").alias(h), F.col("w").alias(f"w{h}"), F.col("parts").alias(f"p{h}")) for h in "ab")
+    larger = F.struct("wa", "a") > F.struct("wb", "b")
+    way = lambda x, y: F.struct(F.col(x).alias("host"), F.col(f"p{x}").alias("hosts"), F.col(y).alias("home"), F.col(f"w{y}").alias("w"), F.col(f"p{y}").alias("parts"))
+    met = across.join(one, "a").join(two, "b").select(F.when(larger, way("a", "b")).otherwise(way("b", "a")).alias("m")).select("m.*")
+    met = met.unionAll(homes.where("parts > 1").select(F.col("home").alias("host"), F.col("parts").alias("hosts"), "home", "w", "parts"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = met.withColumn("at", spread("hosts")).withColumn("part", spread("parts")).where("host <> home or at < part").select("host", "at", "home", "part", (F.col("w") / F.col("parts")).alias("w"))
+    tasks = met.groupBy("host", "at").agg(F.ceil(F.sum("w") / GUESTS).cast("int").alias("tasks"))
+    units = homes.withColumn("at", spread("parts")).select(F.col("home").alias("host"), "at").join(tasks, ["host", "at"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
+    guests = met.join(tasks, ["host", "at"]).withColumn("k", F.pmod(F.xxhash64("home", "part"), F.col("tasks")).cast("int"))
+    task = F.md5(F.concat_ws(" ", "host", "at", "k")).alias("task")
+    sides = units.select(task, F.lit(0).alias("side"), (F.col("k") == 0).alias("alone"), F.col("host").alias("home"), F.col("at").alias("part")).unionAll(guests.select(task, F.lit(1), F.lit(False), "home", "part"))
+    wanted = classes.select("rep", "key", "copies", "home").join(homes, "home")
+    wanted = materialise(wanted.select("rep", "key", "copies", "home", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")), "wanted")
+    texts = wanted.where("copies > 0").join(docs.withColumnRenamed("doc_id", "rep"), "rep")  # a filter that all rows pass: Spark makes a Bloom filter for the other side's shuffle of filtered tables only
+    packs = _packs(texts.repartition("home", "part").sortWithinPartitions("home", "part"), size)
+    with _setting(docs.sparkSession, RUNTIME_FILTER, "1"):
+        found = materialise(_verified(sides.join(packs, ["home", "part"]).repartition("task").sortWithinPartitions("task"), percent), "links")
     component = connected_components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     rows = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep", "copies"), "key", "left")
