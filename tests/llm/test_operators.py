@@ -52,6 +52,28 @@ def test_join_equals_brute_force(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_join_of_many_units_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "GUESTS", 8)
+    rng, rows = np.random.default_rng(5), []
+    for i in range(50):
+        w = list(WORDS)
+        for k in rng.choice(60, rng.integers(0, 4), replace=False):
+            w[k] = f"n{rng.integers(9)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    links = {i: sum(100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+    assert {r.doc_id: r.n_links for r in got} == links
+
+
+def test_packed_sets_round_trip():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 5, 300)] * 2
+    assert all((a == b).all() for a, b in zip(sets, ngram_join.unpacked_sets(*ngram_join.packed_sets(sets)), strict=True))
+
+
 def test_join_of_nothing(none):
     assert ngram_join.ngram_jaccard_join(none).count() == 0
 
