@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -13,10 +16,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from foliant.llm.common import materialise, read_table
 
 SPACE = "▁"
+#: Codes from here on are bytes.
+BYTE = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,10 @@ class Pieces:
     def alphabet(self) -> frozenset[str]:
         return frozenset(p for p, _, _ in self.table if len(p) == 1)
 
+    @property
+    def pairs(self) -> frozenset[str]:
+        return frozenset(p[i : i + 2] for p, _, _ in self.table for i in range(len(p) - 1))
+
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.table)
@@ -64,6 +74,22 @@ def is_bpe(proto: bytes) -> bool:
     return next((v for k, v in _fields(trained) if k == 3), 1) == 2
 
 
+def _reachable(table: tuple[tuple[str, int, float], ...]) -> tuple[tuple[str, int, float], ...]:
+    """The pieces that merging makes of their own text; a piece arises in a word by those same merges, as none of them looks beyond it. Raises if their scores don't fall."""
+    score, out = {p: s for p, _, s in table}, []
+    for row in table:
+        parts, last = list(row[0]), math.inf
+        while len(parts) > 1:
+            best, i = max((score.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(pairwise(parts)))
+            if best == -math.inf:
+                break
+            if best > last:
+                raise ValueError(f"merges towards {row[0]!r} rise in score")
+            parts[-i : 2 - i], last = ["".join(parts[-i : 2 - i])], best
+        out += [row] * (len(parts) == 1)
+    return tuple(out)
+
+
 def load_pieces(path: str) -> Pieces:
     """The pieces of a model file; raises if its words can't be taken apart as units() does."""
     from sentencepiece import SentencePieceProcessor
@@ -73,47 +99,59 @@ def load_pieces(path: str) -> Pieces:
     special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
     table = tuple((sp.id_to_piece(i), i, sp.get_score(i)) for i in range(n) if not special[i])
     byte_ids = tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256))
-    found = Pieces(table, byte_ids, is_bpe(sp.serialized_model_proto()))
+    bpe = is_bpe(sp.serialized_model_proto())
+    found = Pieces(_reachable(table) if bpe else table, byte_ids, bpe)
     letters = found.alphabet
     if sp.encode("a  b", out_type=str)[0][:1] != SPACE or any(c not in letters for p, _, _ in table for c in p) or any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in table):
         raise ValueError("this model's normalisation or pieces are not supported")
     return found
 
 
-def units(text: str, alphabet: frozenset[str]) -> list[str]:
-    """Stretches that no piece crosses: cut before a run of spaces, and around characters that are no piece."""
-    out = []
-    for word in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE)) if text else []:
-        at = 0
-        for i, c in enumerate(word):
-            if c not in alphabet:
-                out += [word[at:i]] * (i > at) + [c]
-                at = i + 1
-        out += [word[at:]] * (at < len(word))
-    return out
+def words_of(text: str) -> list[str]:
+    """What follows the mark of a space, word by word; the model puts a space before the text. In runs of spaces, all but the first go with the word."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
+def units(word: str, pairs: frozenset[str]) -> list[str]:
+    """Stretches that no piece crosses: the word is cut between neighbours that stand side by side in no piece."""
+    out, at = [], 0
+    for i, pair in enumerate(map(add, word, word[1:]), 1):
+        if pair not in pairs:
+            out.append(word[at:i])
+            at = i
+    return [*out, word[at:]]
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and ids of each distinct word: substrings of bounded length are exploded, joined with the piece table (whose size is the model's), grouped by word, and folded."""
-    spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(pieces.table), "piece string, id int, score double"))
-    spread = words.select("word", F.length("word").alias("n")).repartition("word").withColumn("at", F.explode(F.expr("sequence(0, n - 1)")))
+    """word and ids of each distinct word (none twice): substrings of bounded length are exploded, joined with the piece table (whose size is the model's), grouped by word, and folded."""
+    table = F.broadcast(words.sparkSession.createDataFrame(list(pieces.table), "piece string, id int, score double"))
+    spread = words.select("word", F.length("word").alias("n")).withColumn("at", F.explode(F.expr("sequence(0, n - 1)")))
     spread = spread.withColumn("len", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - at))"))).withColumn("piece", F.expr("substring(word, at + 1, len)"))
-    edges = spread.join(table, "piece").groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct((F.col("at") * 64 + F.col("len")).alias("k"), F.struct("score", "id").alias("v")))).alias("m"))
-    bounds = _merged(F.col("n"), F.col("m")) if pieces.bpe else _best_path(F.col("n"), F.col("m"))
-    cut = edges.withColumn("b", bounds)
+    edges = spread.join(table, "piece")
+    if pieces.bpe:
+        return _merged(edges)
+    whole = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct((F.col("at") * 64 + F.col("len")).alias("k"), F.struct("score", "id").alias("v")))).alias("m"))
+    cut = whole.withColumn("b", _best_path(F.col("n"), F.col("m")))
     return cut.select("word", F.expr("transform(sequence(0, size(b) - 2), i -> try_element_at(m, b[i] * 64 + b[i + 1] - b[i]).id)").alias("ids"))
 
 
-def _merged(n: Column, m: Column) -> Column:
-    """Boundaries after merging the adjacent pair of the highest score (ties: the first), until no pair is a piece."""
+def _merged(edges: DataFrame) -> DataFrame:
+    """The ids after merging pairs by falling score (ties: the first), as a fold over the word's edges in that order.
 
-    def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(F.try_element_at(m, F.get(b, i) * 64 + F.get(b, i + 2) - F.get(b, i))["score"].alias("s"), (-i).alias("i")))
-        best = lambda p: F.when(p["s"].isNull(), b).otherwise(F.concat(F.slice(b, F.lit(1), 1 - p["i"]), F.slice(b, 3 - p["i"], F.size(b))))
-        return F.when(F.size(b) < 3, b).otherwise(F.get(F.transform(F.array(F.array_max(pairs)), best), F.lit(0)))
-
-    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(2), n + 1), F.sequence(F.lit(0), n), step))
+    The state has a bit for each place, set while it is a boundary, in cells of 48 bits. An edge is merged if both of its ends and one place between are boundaries.
+    Each edge needs one look only, as load_pieces() found that a piece's score is below those of the merges that lead to it.
+    """
+    e = edges.select("word", "n", F.expr("struct(-score AS s, at, len, at div 48 AS c, cast(at % 48 AS int) AS o, shiftleft(2L, len) - 1 AS mask, shiftleft(1L, len) | 1L AS ends, id)").alias("e"))
+    e = e.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("es"))
+    window = "(shiftright({0}[cast(e.c AS int)], e.o) | shiftleft({0}[cast(e.c AS int) + 1], 48 - e.o)) & e.mask"
+    cleared = "transform(st, (x, i) -> CASE WHEN i = e.c THEN x & ~shiftleft(w ^ e.ends, e.o) WHEN i = e.c + 1 THEN x & ~shiftright(w ^ e.ends, 48 - e.o) ELSE x END)"
+    fold = f"aggregate(filter(es, e -> e.len > 1), array_repeat({(1 << 48) - 1}L, cast(n div 48 AS int) + 2), (st, e) -> transform(array({window.format('st')}), w -> IF(bit_count(w) = 3 AND (w & e.ends) = e.ends, {cleared}, st))[0])"
+    done = e.withColumn("b", F.expr(fold))
+    return done.select("word", F.expr(f"transform(array_sort(transform(filter(es, e -> ({window.format('b')}) = e.ends), e -> struct(e.at, e.id))), t -> t.id)").alias("ids"))
 
 
 def _best_path(n: Column, m: Column) -> Column:
@@ -129,50 +167,65 @@ def _best_path(n: Column, m: Column) -> Column:
     return F.get(F.transform(F.array(full), back), F.lit(0))
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 16 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 24 << 20) -> DataFrame:
     """doc_id and ids of every row.
 
-    Texts are put into groups of about group_bytes; the groups' distinct words are encoded once each on the lattice and come back to them. Characters that are no piece become their UTF-8 bytes' ids.
+    Texts are put into groups of about group_bytes and become numbers of their group's units, so that no text is shuffled; distinct units are encoded once each on the lattice and come back to the groups. Characters that are no piece become their UTF-8 bytes' ids.
     Null and empty texts have no ids; null ids stay null; repeated rows are returned each; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    alphabet = pieces.alphabet
+    alphabet, pairs, byte_ids = pieces.alphabet, pieces.pairs, np.array(pieces.byte_ids, np.int32)
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, base = 0, TaskContext.get().partitionId() << 24
-        for b in batches:
-            gs = []
-            for text in b.column(1).to_pylist():
-                gs.append(base + size // group_bytes)
-                size += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), *b.columns], names=["g", "doc_id", "text"])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts, with zstandard frames of unit numbers (or BYTE and a byte), and after a group's texts rows of its units."""
+        pack, g, size, coded, numbers = ZstdCompressor(), TaskContext.get().partitionId() << 24, 0, {}, {}
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string())))], names=["g", "doc_id", "codes", "units"])
+
+        def code(word: str) -> bytes:
+            out = []
+            for u in units(SPACE + word, pairs):
+                out += [numbers.setdefault(u, len(numbers))] if len(u) > 1 or u in alphabet else [BYTE + b for b in u.encode("utf-8", "surrogatepass")]
+            return np.array(out, "<u4").tobytes()
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, set()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array(sorted(found), pa.string())], names=["g", "word"])
         for b in batches:
-            for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if g != now:
-                    if found:
-                        yield out()
-                    now, found = g, set()
-                found.update(u for u in units(text, alphabet) if len(u) > 1 or u in alphabet)
-        if found:
-            yield out()
-
-    grouped = materialise(rows.mapInArrow(group, "g long, doc_id string, text string"), "texts")
-    vocabulary = materialise(grouped.select("g", "text").mapInArrow(words, "g long, word string"), "words")
-    known = materialise(lattice(vocabulary.select("word").distinct(), pieces), "ids")
-
-    def assemble(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        ids = dict(zip(own["word"], own["ids"], strict=True))
-        out = []
-        for doc, text in zip(texts["doc_id"], texts["text"], strict=True):
-            parts = [ids[u] if u in ids else [pieces.byte_ids[b] for b in u.encode("utf-8", "surrogatepass")] for u in units(text, alphabet)]
-            out.append((doc, np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)))
-        return pd.DataFrame(out, columns=["doc_id", "ids"])
-
-    coded = grouped.groupBy("g").cogroup(vocabulary.join(known, "word").groupBy("g")).applyInPandas(assemble, "doc_id string, ids array<int>")
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                for w in set(words).difference(coded):
+                    coded[w] = code(w)
+                out.append((g, doc, pack.compress(b"".join(map(coded.__getitem__, words))), None))
+                size += len(text)
+                if size >= group_bytes:
+                    out.append((g, None, None, list(numbers)))
+                    g, size, coded, numbers = g + 1, 0, {}, {}
+            if out:
+                yield batch(out)
+        if size:
+            yield batch([(g, None, None, list(numbers))])
+
+    def assemble(texts: pa.Table, own: pa.Table) -> pa.Table:
+        listed, n = own.column("ids").combine_chunks(), own.column("n").to_numpy()
+        known = int(n.max()) + 1 if len(n) else 0
+        flat = np.concatenate([listed.flatten().to_numpy(), byte_ids])
+        lengths = np.ones(known + 256, np.int64)
+        starts = np.arange(len(flat) - 256 - known, len(flat))
+        lengths[n] = listed.value_lengths().to_numpy() if len(n) else 0
+        starts[n] = np.cumsum(lengths[n]) - lengths[n]
+        ids = []
+        for frame in texts.column("codes").to_pylist():
+            c = np.frombuffer(ZstdDecompressor().decompress(frame), "<u4").astype(np.int64)
+            c = np.where(c >= BYTE, c - BYTE + known, c)
+            each = lengths[c]
+            ids.append(flat[np.repeat(starts[c] - (np.cumsum(each) - each), each) + np.arange(each.sum())])
+        offsets = np.cumsum([0, *map(len, ids)])
+        column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        return pa.table([texts.column("doc_id"), column], names=["doc_id", "ids"])
+
+    numbered = materialise(rows.mapInArrow(number, "g long, doc_id string, codes binary, units array<string>"), "numbered")
+    vocabulary = numbered.where("units IS NOT NULL").select("g", F.posexplode("units").alias("n", "word"))
+    known = lattice(vocabulary.select("word").distinct(), pieces)
+    back = vocabulary.join(known, "word").select("g", "n", "ids")
+    coded = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "doc_id", "codes").groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, ids array<int>")
     return coded.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
