@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -118,6 +119,8 @@ def words_of(text: str) -> list[str]:
 
 def units(word: str, pairs: frozenset[str]) -> list[str]:
     """Stretches that no piece crosses: the word is cut between neighbours that stand side by side in no piece."""
+    if pairs.issuperset(map(add, word, word[1:])):
+        return [word]
     out, at = [], 0
     for i, pair in enumerate(map(add, word, word[1:]), 1):
         if pair not in pairs:
@@ -167,7 +170,7 @@ def _best_path(n: Column, m: Column) -> Column:
     return F.get(F.transform(F.array(full), back), F.lit(0))
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 24 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 12 << 20, cached: int = 150_000) -> DataFrame:
     """doc_id and ids of every row.
 
     Texts are put into groups of about group_bytes and become numbers of their group's units, so that no text is shuffled; distinct units are encoded once each on the lattice and come back to the groups. Characters that are no piece become their UTF-8 bytes' ids.
@@ -185,12 +188,15 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
             out = []
             for u in units(SPACE + word, pairs):
                 out += [numbers.setdefault(u, len(numbers))] if len(u) > 1 or u in alphabet else [BYTE + b for b in u.encode("utf-8", "surrogatepass")]
-            return np.array(out, "<u4").tobytes()
+            return array("I", out).tobytes()
 
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                doc, text = doc.as_py(), text.as_py()
                 words = words_of(text)
+                if len(coded) > cached:
+                    coded.clear()
                 for w in set(words).difference(coded):
                     coded[w] = code(w)
                 out.append((g, doc, pack.compress(b"".join(map(coded.__getitem__, words))), None))
