@@ -12,7 +12,6 @@ from itertools import pairwise
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,8 +169,8 @@ def _best_path(n: Column, m: Column) -> Column:
     return F.get(F.transform(F.array(full), back), F.lit(0))
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 12 << 20, cached: int = 150_000) -> DataFrame:
-    """doc_id and ids of every row.
+def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 12 << 20, cached: int = 150_000, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_ids and ids_crc32 (of unsigned little-endian 32-bit ids) of every row, and its ids if wanted.
 
     Texts are put into groups of about group_bytes and become numbers of their group's units, so that no text is shuffled; distinct units are encoded once each on the lattice and come back to the groups. Characters that are no piece become their UTF-8 bytes' ids.
     Null and empty texts have no ids; null ids stay null; repeated rows are returned each; other columns are ignored; an empty table gives no rows.
@@ -224,14 +223,16 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
             each = lengths[c]
             ids.append(flat[np.repeat(starts[c] - (np.cumsum(each) - each), each) + np.arange(each.sum())])
         offsets = np.cumsum([0, *map(len, ids)])
-        column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        return pa.table([texts.column("doc_id"), column], names=["doc_id", "ids"])
+        columns = {"doc_id": texts.column("doc_id"), "n_ids": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())}
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        return pa.table(columns)
 
     numbered = materialise(rows.mapInArrow(number, "g long, doc_id string, codes binary, units array<string>"), "numbered")
     vocabulary = numbered.where("units IS NOT NULL").select("g", F.posexplode("units").alias("n", "word"))
     known = lattice(vocabulary.select("word").distinct(), pieces)
     back = vocabulary.join(known, "word").select("g", "n", "ids")
-    coded = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "doc_id", "codes").groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, ids array<int>")
+    coded = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "doc_id", "codes").groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, n_ids long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return coded.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
@@ -239,9 +240,9 @@ def decode_ids(coded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFr
     """coded with text: the pieces' texts in a row, spaces for their mark, without the one put before the first word."""
     raw = {i: p.encode() for p, i, _ in pieces.table} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda ids: b"".join(raw.get(i, b"") for i in ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" "))
+    @F.arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([None if ids is None else b"".join(raw.get(i, b"") for i in ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for ids in column.to_pylist()], pa.string())
 
     return coded.withColumn("text", decode(ids_col))
 
@@ -251,13 +252,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = encode_texts(read_table(spark, sf_dir, "documents"), pieces)
-
-    @F.pandas_udf("long")
-    def crc(s: pd.Series) -> pd.Series:
-        return s.map(lambda ids: zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()))
-
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"))
+    return encode_texts(read_table(spark, sf_dir, "documents"), pieces, with_ids=False)
 
 
 QUERIES = {"op7_sentencepiece": op7_sentencepiece}
