@@ -81,7 +81,7 @@ SELECT reason, count(*) AS n FROM b GROUP BY reason"""),
     "reviews_text_block": W(f", {BLOCK} SELECT book_id, md5(block) AS block_md5, length(block) AS chars FROM b"),
     "llm_input_join": W(f", {STATS}, {BLOCK} SELECT book_id, title, s.average_rating, {DIST} AS rating_distribution_text, md5(block) AS block_md5, length(block) AS chars FROM books JOIN s USING (book_id) JOIN b USING (book_id)"),
     "top_reviews_concat": W(""", r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n_votes DESC, CAST(review_id AS BIGINT)) AS rn FROM reviews QUALIFY rn <= 10), t AS (SELECT book_id, string_agg(review_text, ' | User Review: ' ORDER BY rn) AS x FROM r GROUP BY 1)
-SELECT book_id, md5(concat('Title: ', title, '. Description: ', description, ' Reviews: ', coalesce(x, ''))) AS text_md5 FROM books LEFT JOIN t USING (book_id) WHERE CAST(book_id AS INTEGER) <= 40"""),
+SELECT book_id, md5(concat('Title: ', title, '. Description: ', description, ' Reviews: ', coalesce(x, ''))) AS text_md5 FROM books LEFT JOIN t USING (book_id)"""),
     "search_text": W("SELECT book_id, trim(concat(lower(trim(title)), ' ', lower(trim(description)), ' ', lower(trim(popular_shelves)))) AS search_text FROM books"),
     "shelf_clean_counts": W(f", {CLEAN} SELECT shelf, count(*) AS n FROM z GROUP BY shelf"),
     "cluster_label_scores": W(f""", {CLEAN}, k AS (SELECT book_id, CAST(book_id AS INTEGER) % 7 AS cluster_id, row_number() OVER (PARTITION BY CAST(book_id AS INTEGER) % 7 ORDER BY ratings_count DESC, book_id) AS r FROM books),

@@ -27,7 +27,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["similar_items_topk", "recommend_topn", "catalog_sample", "stratified_waterfall_sample", "shelf_clean_counts", "dense_index", "clean_drop_reasons"])
+@pytest.mark.parametrize("name", ["similar_items_topk", "recommend_topn", "catalog_sample", "stratified_waterfall_sample", "shelf_clean_counts", "dense_index", "clean_drop_reasons", "top_reviews_concat"])
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     r = duck.execute(ORACLE[name])
