@@ -32,6 +32,7 @@ class Pieces:
     table: tuple[tuple[str, int, float], ...]
     byte_ids: tuple[int, ...]
     bpe: bool
+    late: tuple[tuple[str, int], ...] = ()
 
     @property
     def alphabet(self) -> frozenset[str]:
@@ -74,20 +75,27 @@ def is_bpe(proto: bytes) -> bool:
     return next((v for k, v in _fields(trained) if k == 3), 1) == 2
 
 
-def _reachable(table: tuple[tuple[str, int, float], ...]) -> tuple[tuple[str, int, float], ...]:
-    """The pieces that merging makes of their own text; a piece arises in a word by those same merges, as none of them looks beyond it. Raises if their scores don't fall."""
-    score, out = {p: s for p, _, s in table}, []
+def _reachable(table: tuple[tuple[str, int, float], ...]) -> tuple[tuple[tuple[str, int, float], ...], tuple[tuple[str, int], ...]]:
+    """The pieces that merging makes of their own text; a piece arises in a word by those same merges, as none of them looks beyond it. Raises if their scores rise.
+
+    Of pieces (runs of spaces) with merges of the same score: the last place where one of those begins, before which the piece can't arise.
+    """
+    score, out, late = {p: s for p, _, s in table}, [], []
     for row in table:
-        parts, last = list(row[0]), math.inf
+        parts, merges = list(row[0]), []
         while len(parts) > 1:
             best, i = max((score.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(pairwise(parts)))
             if best == -math.inf:
                 break
-            if best > last:
+            if merges and best > merges[-1][0]:
                 raise ValueError(f"merges towards {row[0]!r} rise in score")
-            parts[-i : 2 - i], last = ["".join(parts[-i : 2 - i])], best
-        out += [row] * (len(parts) == 1)
-    return tuple(out)
+            merges.append((best, sum(map(len, parts[:-i]))))
+            parts[-i : 2 - i] = ["".join(parts[-i : 2 - i])]
+        if len(parts) == 1:
+            out.append(row)
+            place = max((at for s, at in merges if s == row[2]), default=0)
+            late += [(row[0], place)] * (place > 0)
+    return tuple(out), tuple(late)
 
 
 def load_pieces(path: str) -> Pieces:
@@ -100,7 +108,8 @@ def load_pieces(path: str) -> Pieces:
     table = tuple((sp.id_to_piece(i), i, sp.get_score(i)) for i in range(n) if not special[i])
     byte_ids = tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256))
     bpe = is_bpe(sp.serialized_model_proto())
-    found = Pieces(_reachable(table) if bpe else table, byte_ids, bpe)
+    kept, late = _reachable(table) if bpe else (table, ())
+    found = Pieces(kept, byte_ids, bpe, late)
     letters = found.alphabet
     if sp.encode("a  b", out_type=str)[0][:1] != SPACE or any(c not in letters for p, _, _ in table for c in p) or any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in table):
         raise ValueError("this model's normalisation or pieces are not supported")
@@ -130,7 +139,8 @@ def units(word: str, pairs: frozenset[str]) -> list[str]:
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word and ids of each distinct word (none twice): substrings of bounded length are exploded, joined with the piece table (whose size is the model's), grouped by word, and folded."""
-    table = F.broadcast(words.sparkSession.createDataFrame(list(pieces.table), "piece string, id int, score double"))
+    late = dict(pieces.late)
+    table = F.broadcast(words.sparkSession.createDataFrame([(*row, late.get(row[0], 0)) for row in pieces.table], "piece string, id int, score double, late int"))
     spread = words.select("word", F.length("word").alias("n")).withColumn("at", F.explode(F.expr("sequence(0, n - 1)")))
     spread = spread.withColumn("len", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - at))"))).withColumn("piece", F.expr("substring(word, at + 1, len)"))
     edges = spread.join(table, "piece")
@@ -142,12 +152,12 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _merged(edges: DataFrame) -> DataFrame:
-    """The ids after merging pairs by falling score (ties: the first), as a fold over the word's edges in that order.
+    """The ids after merging pairs by falling score (ties: the first that can arise), as a fold over the word's edges in that order.
 
     The state has a bit for each place, set while it is a boundary, in cells of 48 bits. An edge is merged if both of its ends and one place between are boundaries.
     Each edge needs one look only, as load_pieces() found that a piece's score is below those of the merges that lead to it.
     """
-    e = edges.select("word", "n", F.expr("struct(-score AS s, at, len, at div 48 AS c, cast(at % 48 AS int) AS o, shiftleft(2L, len) - 1 AS mask, shiftleft(1L, len) | 1L AS ends, id)").alias("e"))
+    e = edges.select("word", "n", F.expr("struct(-score AS s, at + late AS turn, len - late AS reach, -at AS back, at, len, at div 48 AS c, cast(at % 48 AS int) AS o, shiftleft(2L, len) - 1 AS mask, shiftleft(1L, len) | 1L AS ends, id)").alias("e"))
     e = e.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("es"))
     window = "(shiftright({0}[cast(e.c AS int)], e.o) | shiftleft({0}[cast(e.c AS int) + 1], 48 - e.o)) & e.mask"
     cleared = "transform(st, (x, i) -> CASE WHEN i = e.c THEN x & ~shiftleft(w ^ e.ends, e.o) WHEN i = e.c + 1 THEN x & ~shiftright(w ^ e.ends, 48 - e.o) ELSE x END)"

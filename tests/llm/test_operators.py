@@ -158,6 +158,23 @@ def test_sentencepiece_equals_the_library(docs, none):
     assert sorted(r.text for r in coded) == sorted(r.text or "" for r in df.collect())
 
 
+def test_sentencepiece_of_long_and_odd_texts(spark, none):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, pieces = SentencePieceProcessor(model_file=path), sentencepiece_lattice.load_pieces(path)
+    rng = np.random.default_rng(7)
+    texts = [None, "", " ", "   ", "a" * 700, *(" " * n + "x" for n in (1, 7, 14, 15, 16, 17, 29, 31, 47, 130)), "the" * 60, "a\u2581b", " lead", "trail ", "\x00\u200b\n\n\n", *("".join(rng.choice(list("abehinorst ▁é.,1"), 120)) for _ in range(60))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, g int")
+    want = {i: sp.encode(t or "") for i, t in enumerate(texts)}
+    for settings in ({}, {"group_bytes": 200, "cached": 5}):
+        got = {r.doc_id: r for r in sentencepiece_lattice.encode_texts(df, pieces, **settings).collect()}
+        assert {i: list(r.ids) for i, r in got.items()} == want
+        assert all(r.n_ids == len(want[i]) and r.ids_crc32 == zlib.crc32(np.array(want[i], dtype="<u4").tobytes()) for i, r in got.items())
+    assert sentencepiece_lattice.encode_texts(none, pieces).count() == 0
+
+
 def vectors(spark, n=300):
     x = np.random.default_rng(3).normal(size=(n, 8))
     rows = [(i, x[i].tolist()) for i in range(n)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1100, x[5].tolist()), (None, x[0].tolist()), (1003, [1.0])]
