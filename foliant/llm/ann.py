@@ -76,11 +76,11 @@ def fit_index(sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256,
     return IvfPq(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]), sample.shape[1])
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 20_000, probe_share: float = 0.6, min_probes: int = 8, rerank: int = 300, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def ann_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 20_000, probe_share: float = 0.6, min_probes: int = 8, rerank: int = 300, shard_rows: int = 8192, block_rows: int = 2048, chunk_rows: int = 1024) -> DataFrame:
     """The k nearest found (Euclidean) of vectors for each row of queries, its own id left out: query_id, rank, vec_id, score.
 
     The index is fitted on the sample_rows rows lowest by hash of id, and holds every row: each has its list and codes. A query asks the
-    nearest lists (probe_share of them, min_probes at least); within a shard of a list, the rerank rows nearest by its distance table get their true distance.
+    nearest lists (probe_share of them, min_probes at least); within a shard of a list, the rerank rows nearest by its distance table, and all that tie with the last of them, get their true distance (chunk_rows at a time).
     Lists are cut into shards of about shard_rows, and the queries that ask a list into blocks of about block_rows, so that no list gathers in one task.
 
     Null or zero vectors, and ones with null or non-finite components, take no part, nor do null ids or lengths other than the commonest. Ties go to the smaller id; a repeated row counts each time. Empty tables give no rows. Other columns are ignored.
@@ -132,10 +132,14 @@ def ann_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
             near = np.flatnonzero(ids != i)
             if len(near) > rerank:
                 rough = table[parts, codes[near]].sum(1)
-                near = near[np.argpartition(rough, rerank)[:rerank]]
-            d = np.sqrt(((y[near] - v) ** 2).sum(1))
-            top = np.lexsort((ids[near], d))[:k]
-            found.append(pd.DataFrame({"query_id": i, "vec_id": ids[near][top], "score": d[top]}))
+                near = near[rough <= np.partition(rough, rerank - 1)[rerank - 1]]
+            best, d = near[:0], np.zeros(0)
+            for at in range(0, len(near), chunk_rows):
+                some = near[at : at + chunk_rows]
+                best, d = np.concatenate([best, some]), np.concatenate([d, np.sqrt(((y[some] - v) ** 2).sum(1))])
+                top = np.lexsort((ids[best], d))[:k]
+                best, d = best[top], d[top]
+            found.append(pd.DataFrame({"query_id": i, "vec_id": ids[best], "score": d}))
         return pd.concat(found)
 
     tops = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")

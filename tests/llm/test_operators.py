@@ -203,6 +203,20 @@ def test_ann_reranks_exactly(spark):
     assert ann.ann_search(df.where("false"), df).count() == 0
 
 
+def test_ann_of_long_lists_and_copies(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(3000, 8)), np.repeat(rng.normal(size=(1, 8)), 1500, axis=0)])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asked, copies = np.concatenate([ids[:3000:100], ids[3000:3004]]), np.sort(ids[3000:])
+    got = ann.ann_search(df, df.where(F.col("vec_id").isin(asked.tolist())), sample_rows=8, probe_share=1.0).collect()  # lists of over 300 rows, whose codes tie as the sample has a row a list
+    found = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in asked.tolist()}
+    for q in ids[3000:3004]:
+        assert found[q] == [i for i in copies if i != q][:10]
+    hits = [len(set(found[q]) & set(ids[[j for j in np.lexsort((ids, ((x - x[ids == q][0]) ** 2).sum(1))) if ids[j] != q][:10]])) for q in asked.tolist()]
+    assert sum(hits) >= 9 * len(asked)
+
+
 def test_hmm_likelihood_equals_sum_over_paths():
     rng = np.random.default_rng(4)
     norm = lambda a: a / a.sum(-1, keepdims=True)
