@@ -52,6 +52,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A unit is a notice of a template if 2 * common / (own + template's) of their distinct word bigrams is threshold at least; of one licence's templates the best counts. Two bounds prune before that:
     of sizes (own between m * t / (2 - t) and m * (2 - t) / t for a template of m), and of contents (own has one of the template's longest bigrams, so many that it must share one).
 
+    Notices that are wrapped over lines or share theirs with other words are found in windows of the text's words, from a template's lower size to its upper one, that begin and end with bigrams of the template (others only add to own);
+    a text is searched if it has as many of a template's bigrams as the lower size. Of overlapping windows, of any licence, the closest stays (ties: the shortest, then the first), with the line on which it begins;
+    of these, windows that touch a line which is a notice, or lie in a whole text which is one, do not count again. A line has one notice of a licence.
+
     Null and empty texts, and units of fewer than two words, have no notice. Rows with null ids, repeated rows and rows of one id are returned each. Other columns are ignored.
     """
     t = threshold
@@ -59,16 +63,18 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     low, high = (lambda m: math.ceil(m * t / (2 - t) - 1e-9)), (lambda m: math.floor(m * (2 - t) / t + 1e-9))
     first = lambda b: sorted(b, key=lambda x: (-len(x), x))[: len(b) - low(len(b)) + 1]
     rare = sorted({x for _, b in made for x in first(b)})
-    known = F.expr("array(" + ", ".join(f"named_struct('license', {_quoted(n)}, 'bigrams', array({', '.join(map(_quoted, b))}))" for n, b in made) + ")")
+    known = F.expr("array(" + ", ".join(f"named_struct('license', {_quoted(n)}, 'low', {low(len(b))}, 'high', {high(len(b))}, 'bigrams', array({', '.join(map(_quoted, b))}))" for n, b in made) + ")")
     least, most = min(low(len(b)) for _, b in made), max(high(len(b)) for _, b in made)
     plain = F.regexp_replace(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _NOT_WORD, " ")
-    lines = F.split(plain, "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(F.array(F.translate(plain, "\n", " ")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.split(plain, "\n", -1).alias("lines"))
+    texts = texts.select("doc_id", "lines", F.when(F.size("lines") > 1, 0).otherwise(1).alias("whole"))
+    lines = F.col("lines")
+    units = F.when(F.size(lines) > 1, F.concat(F.array(F.array_join(lines, " ")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
     words = F.transform(units, lambda u, i: F.struct(i.alias("line"), F.filter(F.split(u, " ", -1), lambda w: w != "").alias("w")))
     # at least so many distinct bigrams need as many words; more words than most distinct bigrams may repeat them
     some = F.filter(words, lambda u: (F.size(u["w"]) > least) & F.arrays_overlap(u["w"], F.array(*(F.lit(w) for w in sorted({x.split(" ")[0] for x in rare})))))
     pairs = F.transform(some, lambda u: F.struct(u["line"].alias("line"), F.array_distinct(F.zip_with(F.slice(u["w"], 1, F.size(u["w"]) - 1), F.slice(u["w"], 2, F.size(u["w"]) - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("b")))
-    close = F.filter(pairs, lambda u: F.size(u["b"]).between(least, most) & F.arrays_overlap(u["b"], F.array(*(F.lit(x) for x in rare))))
+    shared = F.filter(pairs, lambda u: (F.size(u["b"]).between(least, most) | ((u["line"] == F.col("whole")) & (F.size(u["b"]) >= least))) & F.arrays_overlap(u["b"], F.array(*(F.lit(x) for x in rare))))
 
     def against(u: Column) -> Column:
         m = lambda k: F.size(k["bigrams"])
@@ -76,11 +82,31 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         scored = F.transform(sized, lambda k: F.struct(u["line"].alias("line"), k["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect(u["b"], k["bigrams"])) / (F.size(u["b"]) + m(k))).alias("dice")))
         return F.filter(scored, lambda s: s["dice"] >= t)
 
-    found = docs.select(F.col(id_col).alias("doc_id"), F.flatten(F.transform(close, against)).alias("found"))
+    close = F.filter("shared", lambda u: F.size(u["b"]).between(least, most))
+    near = F.flatten(F.transform(F.filter("shared", lambda u: u["line"] == F.col("whole")), lambda u: F.filter(known, lambda k: F.size(F.array_intersect(u["b"], k["bigrams"])) >= k["low"])))
+    found = texts.select("doc_id", "lines", "whole", shared.alias("shared"))
+    found = found.select("doc_id", "lines", F.flatten(F.transform(close, against)).alias("found"), near.alias("near"))
+    found = found.select("doc_id", F.concat("found", F.when(F.size("near") > 0, F.expr(_windows(t))).otherwise(F.expr("array()"))).alias("found"))
     best = F.filter("found", lambda s: ~F.exists("found", lambda o: (o["line"] == s["line"]) & (o["license"] == s["license"]) & (o["dice"] > s["dice"])))
     return found.select("doc_id", F.array_sort(F.array_distinct(best)).alias("notices"))
 
 
+def _windows(t: float) -> str:
+    """Notices within lines or across them, of the templates of near: array<struct<line, license, dice>>. x is the text's bigrams with their lines, and hits are the places (from 1) of a template's bigrams."""
+    words = "flatten(transform(lines, (l, i) -> transform(filter(split(l, ' ', -1), w -> w <> ''), w -> struct(i + 1 AS line, w))))"
+    pairs = "zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws) - 1), (a, b) -> struct(a.line AS first, b.line AS last, concat_ws(' ', a.w, b.w) AS b))"
+    hits = "filter(transform(x, (y, i) -> IF(array_contains(k.bigrams, y.b), i + 1, 0)), i -> i > 0)"
+    spans = "flatten(transform(hits, (h, a) -> transform(filter(slice(hits, a + k.low, k.high - k.low + 1), e -> e - h < k.high), e -> struct(h, e))))"
+    own = "array_distinct(transform(slice(x, s.h, s.e - s.h + 1), y -> y.b))"
+    dice = f"transform(array({own}), o -> 2.0D * size(array_intersect(o, k.bigrams)) / (size(o) + size(k.bigrams)))[0]"
+    scored = f"transform({spans}, s -> struct(-({dice}) AS d, s.e - s.h AS n, s.h AS h, s.e AS e, k.license AS license, x[s.h - 1].first AS first, x[s.e - 1].last AS last))"
+    every = f"flatten(transform(near, k -> flatten(transform(array({hits}), hits -> {scored}))))"
+    close = f"filter({every}, s -> -s.d >= {t}D)"
+    kept = f"aggregate(array_sort({close}), cast(array() AS array<struct<d: double, n: int, h: int, e: int, license: string, first: int, last: int>>), (a, s) -> IF(exists(a, o -> o.h <= s.e AND s.h <= o.e), a, concat(a, array(s))))"
+    free = f"filter({kept}, s -> NOT exists(found, f -> f.line = 0 OR f.line BETWEEN s.first AND s.last))"
+    return f"flatten(transform(array({words}), ws -> flatten(transform(array({pairs}), x -> transform({free}, s -> struct(s.first AS line, s.license AS license, -s.d AS dice))))))"
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: how many notices it has, the licences, and the closest one with its coefficient and line (ties: by name, then line)."""
     found = scan_licenses(read_table(spark, sf_dir, "documents"))

@@ -145,6 +145,18 @@ def test_licenses(docs):
     assert all(not r.notices for r in licenses.scan_licenses(docs).collect())
 
 
+def test_licenses_wrapped_and_inline(spark):
+    words = dict((name, text.split()) for name, text in licenses.TEMPLATES if len(text) > 150)
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    rows = [("\n".join([BASE, BASE, wrap(words[name]), BASE]), {(name, 3)}) for name in ("Apache-2.0", "MIT", "MPL-2.0", "ISC")]
+    rows += [(f"{BASE} Released under the MIT License. {BASE}", {("MIT", 1)}), (f"{BASE}\n{BASE} Licensed under CC BY-SA 4.0. {BASE}", {("CC-BY-SA-4.0", 2)})]
+    rows += [(f"{BASE} {' '.join(words['MIT'])} {BASE}", {("MIT", 1)}), (f"{BASE} Released under\nthe MIT License. {BASE}\nReleased under the MIT License.", {("MIT", 1), ("MIT", 3)})]
+    rows += [(f"{BASE} released under {BASE} the license {BASE} mit", set()), (wrap(words["ISC"]), {("ISC", 0)})]
+    rows += [(f"{BASE}\nThis work is licensed under the GNU\nGeneral Public License, version 3. {BASE}", {("GPL-3.0", 2)})]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: {(n.license, n.line) for n in r.notices} for r in got} == {i: want for i, (_, want) in enumerate(rows)}
+
+
 def test_sentencepiece_equals_the_library(docs, none):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
