@@ -180,12 +180,13 @@ def _best_path(n: Column, m: Column) -> Column:
 
 
 def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 12 << 20, cached: int = 150_000, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_ids and ids_crc32 (of unsigned little-endian 32-bit ids) of every row, and its ids if wanted.
+    """doc_id, n_ids, ids_crc32 (of unsigned little-endian 32-bit ids) and text_crc32 (of the text decoded from the ids, as UTF-8) of every row, and its ids if wanted.
 
     Texts are put into groups of about group_bytes and become numbers of their group's units, so that no text is shuffled; distinct units are encoded once each on the lattice and come back to the groups. Characters that are no piece become their UTF-8 bytes' ids.
     Null and empty texts have no ids; null ids stay null; repeated rows are returned each; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    raw = _raw(pieces)
     alphabet, pairs, byte_ids = pieces.alphabet, pieces.pairs, np.array(pieces.byte_ids, np.int32)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
             each = lengths[c]
             ids.append(flat[np.repeat(starts[c] - (np.cumsum(each) - each), each) + np.arange(each.sum())])
         offsets = np.cumsum([0, *map(len, ids)])
-        columns = {"doc_id": texts.column("doc_id"), "n_ids": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())}
+        columns = {"doc_id": texts.column("doc_id"), "n_ids": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), "text_crc32": pa.array([zlib.crc32(_decoded(i.tolist(), raw).encode()) for i in ids], pa.int64())}
         if with_ids:
             columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
         return pa.table(columns)
@@ -242,23 +243,31 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
     vocabulary = numbered.where("units IS NOT NULL").select("g", F.posexplode("units").alias("n", "word"))
     known = lattice(vocabulary.select("word").distinct(), pieces)
     back = vocabulary.join(known, "word").select("g", "n", "ids")
-    coded = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "doc_id", "codes").groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, n_ids long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    coded = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "doc_id", "codes").groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, n_ids long, ids_crc32 long, text_crc32 long" + ", ids array<int>" * with_ids)
     return coded.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
+def _raw(pieces: Pieces) -> dict[int, bytes]:
+    return {i: p.encode() for p, i, _ in pieces.table} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+
+
+def _decoded(ids: list[int], raw: dict[int, bytes]) -> str:
+    return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+
+
 def decode_ids(coded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     """coded with text: the pieces' texts in a row, spaces for their mark, without the one put before the first word."""
-    raw = {i: p.encode() for p, i, _ in pieces.table} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+    raw = _raw(pieces)
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        return pa.array([None if ids is None else b"".join(raw.get(i, b"") for i in ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for ids in column.to_pylist()], pa.string())
+        return pa.array([None if ids is None else _decoded(ids, raw) for ids in column.to_pylist()], pa.string())
 
     return coded.withColumn("text", decode(ids_col))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document: its number of ids, and their crc32 (as unsigned little-endian 32-bit)."""
+    """Of every document: its number of ids, their crc32 (as unsigned little-endian 32-bit), and the crc32 of the text decoded from them."""
     import public_tokenizers
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))

@@ -187,6 +187,16 @@ def test_sentencepiece_of_long_and_odd_texts(spark, none):
     assert sentencepiece_lattice.encode_texts(none, pieces).count() == 0
 
 
+def test_sentencepiece_query_decodes(spark):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: zlib.crc32(sp.decode(sp.encode(r.text or "")).encode()) for r in df.collect()}
+    assert {r.doc_id: r.text_crc32 for r in sentencepiece_lattice.op7_sentencepiece(spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def vectors(spark, n=300):
     x = np.random.default_rng(3).normal(size=(n, 8))
     rows = [(i, x[i].tolist()) for i in range(n)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1100, x[5].tolist()), (None, x[0].tolist()), (1003, [1.0])]
