@@ -58,35 +58,42 @@ def seed_centroids(items: DataFrame, k: int, seed: int, id_col: str, vector: str
 
 
 def spherical_kmeans(items: DataFrame, k: int, *, max_rounds: int = 100, tolerance: float = 1e-5, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> Clusters:
-    """Rounds of one job each: a row per task and cluster (sum, count, similarity), summed by cluster. Clusters left empty move to the rows furthest from theirs."""
+    """Rounds of one job each: a row per task and cluster (sum, count, similarity, rows whose label is new), summed by cluster. Clusters left empty move to the rows furthest from theirs.
+
+    Rounds end when no label changes, when no centroid moves by tolerance, or after max_rounds; converged is false in the last case.
+    """
     c, history, converged = seed_centroids(items, k, seed, id_col, vector), [], False
-    dim = c.shape[1]
+    dim, before = c.shape[1], None
 
     for rounds in range(1, max_rounds + 1):  # noqa: B007
         here = c
 
-        def run(batches: Iterator[pa.RecordBatch], here: np.ndarray = here) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k, dim + 2))
+        def run(batches: Iterator[pa.RecordBatch], here: np.ndarray = here, before: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, dim + 3))
             for b in batches:
                 if len(b):
                     x = _unit(np.array(b.column(0).to_pylist(), dtype=np.float64))
                     s = x @ here.T
                     at = s.argmax(1)
-                    np.add.at(total, at, np.column_stack([x, np.ones(len(x)), 1 - s.max(1)]))
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32())] + [pa.array(total[:, j]) for j in range(dim + 2)], names=["cluster_id", *(f"x{j}" for j in range(dim + 2))])
+                    new = np.ones(len(x)) if before is None else (x @ before.T).argmax(1) != at
+                    np.add.at(total, at, np.column_stack([x, np.ones(len(x)), 1 - s.max(1), new]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32())] + [pa.array(total[:, j]) for j in range(dim + 3)], names=["cluster_id", *(f"x{j}" for j in range(dim + 3))])
 
-        found = items.select(vector).mapInArrow(run, "cluster_id int, " + ", ".join(f"x{j} double" for j in range(dim + 2))).groupBy("cluster_id").agg(*(F.sum(f"x{j}").alias(f"x{j}") for j in range(dim + 2))).collect()
-        total = np.zeros((k, dim + 2))
+        found = items.select(vector).mapInArrow(run, "cluster_id int, " + ", ".join(f"x{j} double" for j in range(dim + 3))).groupBy("cluster_id").agg(*(F.sum(f"x{j}").alias(f"x{j}") for j in range(dim + 3))).collect()
+        total = np.zeros((k, dim + 3))
         for r in found:
             total[r[0]] = r[1:]
-        history.append(float(total[:, -1].sum()))
+        history.append(float(total[:, dim + 1].sum()))
+        if not total[:, dim + 2].any():
+            converged = True
+            break
         new = _unit(total[:, :dim])
         if len(empty := np.flatnonzero(total[:, dim] == 0)):
             far = assign(items, here, id_col, vector).orderBy("similarity", id_col).limit(len(empty)).join(items, id_col).orderBy("similarity", id_col).collect()
             for j, r in zip(empty, far, strict=False):
                 new[j] = _unit(np.array(r[vector], dtype=np.float64))
         moved = float((1 - (new * here).sum(1)).max())
-        c = new
+        before, c = here, new
         if moved < tolerance:
             converged = True
             break

@@ -92,8 +92,8 @@ def _ranked(spark, d):
 
 
 def _kmeans(spark, d):
-    found = clustering.spherical_kmeans(vectors(spark, d), 8, max_rounds=10)
-    return found.assignments.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), F.round(F.avg("similarity"), 4).alias("mean_similarity"))
+    found = clustering.spherical_kmeans(vectors(spark, d), 24, max_rounds=100, tolerance=1e-5)
+    return found.assignments.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), F.round(F.avg("similarity"), 4).alias("mean_similarity")).withColumn("converged", F.lit(found.converged))
 
 
 def _book_rows(spark, d):

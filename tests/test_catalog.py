@@ -2,11 +2,12 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars as S
-from foliant.operators import labels, search, summaries, tables
+from foliant.operators import clustering, labels, search, summaries, tables
 from foliant.plans.oracle import ORACLE
 from foliant.plans.queries import QUERIES
 from foliant.sources.raw import BOOK_DDL, books_table, read_json_lines
@@ -81,3 +82,19 @@ def test_runner_resumes(spark):
 def test_dedupe_is_ordered(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
     assert sorted((r.k, r.v) for r in tables.dedupe(df, ["k"], [F.col("v")]).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_kmeans_ends_at_a_fixed_point(spark):
+    items = QUERIES["spherical_kmeans"](spark, SF).collect()
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert len(items) == 24 and all(r.converged for r in items) and sum(r.cluster_size for r in items) == v.count()
+    x = np.array([r.embedding for r in v.orderBy("vec_id").collect()], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # no tolerance is met: unchanged labels alone end the rounds
+    found = clustering.spherical_kmeans(v, 24, tolerance=-1.0)
+    at = np.array([r.cluster_id for r in found.assignments.orderBy("vec_id").collect()])
+    means = np.stack([x[at == j].sum(0) for j in range(24)])
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    assert found.converged and found.rounds < 100 and (at == (x @ means.T).argmax(1)).all()
+    assert all(a >= b - 1e-9 for a, b in zip(found.inertia, found.inertia[1:]))
+    assert not clustering.spherical_kmeans(v, 24, max_rounds=1).converged
