@@ -60,9 +60,11 @@ def unique_labels(names: dict[int, list[str]]) -> dict[int, str]:
 
 
 def cluster_labels(members: DataFrame) -> DataFrame:
-    """cluster_id and label. Names come to the driver: at most 12 of each cluster."""
+    """cluster_id and label. Names come to the driver: of each cluster the first 9, the first 9 that aren't generic and the first generic one, which are all that unique_labels() looks at."""
     ids = members.select("cluster_id").distinct()
-    best = label_scores(members).where("place <= 12").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("n"))
+    scored = label_scores(members).withColumn("generic", F.col("name").isin(sorted(GENERIC_DISPLAYS)))
+    scored = scored.withColumn("own_place", F.row_number().over(Window.partitionBy("cluster_id", "generic").orderBy("place")))
+    best = scored.where("place <= 9 or own_place <= if(generic, 1, 9)").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("n"))
     rows = ids.join(best, "cluster_id", "left").collect()
     labels = unique_labels({r["cluster_id"]: [x["name"] for x in r["n"] or []] for r in rows})
     return members.sparkSession.createDataFrame(sorted(labels.items()), "cluster_id int, label string")

@@ -68,6 +68,13 @@ def test_unique_labels():
     assert len(set(found.values())) == 4 and found[2] == "Neighborhood 2"
 
 
+def test_labels_beyond_generic_names(spark, monkeypatch):
+    names = [*sorted(labels.GENERIC_DISPLAYS), "Alpha", "Beta", "Gamma", "Delta"]
+    scored = spark.createDataFrame([(c, n, i + 1) for c in (0, 1) for i, n in enumerate(names)], "cluster_id int, name string, place int")
+    monkeypatch.setattr(labels, "label_scores", lambda members: scored)
+    assert {r.cluster_id: r.label for r in labels.cluster_labels(scored).collect()} == labels.unique_labels({0: names, 1: names})
+
+
 def test_runner_resumes(spark):
     items = spark.createDataFrame([("1", "p"), ("2", "p")], "book_id string, prompt string")
 
