@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def bucketed(df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
+    """As materialise(), with the rows of a value of column by in one bucket, so that what is grouped by it is not shuffled again."""
+    spark, name = df.sparkSession, f"foliant_{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", scratch_path(spark, label)).option("compression", "zstd").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay until the driver ends
+    return found
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids are in no fold."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(folds)
@@ -83,3 +98,33 @@ def main_dimension(vectors: DataFrame, col: str) -> int:
     """The commonest vector length (ties: the shorter); 0 without vectors."""
     row = vectors.groupBy(F.size(col).alias("dim")).count().orderBy(F.desc("count"), "dim").head()
     return int(row["dim"]) if row else 0
+
+
+class Numbers(dict):
+    """Numbers of chunks in order of arrival; fresh holds those whose ids are not known yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Bank:
+    """Ids of numbered chunks, one after the other. A chunk that must not be encoded by itself has length -1."""
+
+    def __init__(self):
+        self.flat, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        taken = np.maximum(lengths, 0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(taken) - taken])
+        self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, ids])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered chunks in a row, and how many each has."""
+        each = np.maximum(self.length[numbers], 0)
+        ends = np.cumsum(each)
+        return self.flat[np.repeat(self.start[numbers] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)], each

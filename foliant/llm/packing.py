@@ -13,41 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import read_table
+from foliant.llm.common import Bank, Numbers, read_table
 
 PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-class _Numbers(dict):
-    """Numbers of chunks in order of arrival; fresh holds those whose ids are not known yet."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
-
-
-class _Bank:
-    """Ids of numbered chunks, one after the other. A chunk that must not be encoded by itself has length -1."""
-
-    def __init__(self):
-        self.flat, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        taken = np.maximum(lengths, 0)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(taken) - taken])
-        self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, ids])
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the numbered chunks in a row, and how many each has."""
-        each = np.maximum(self.length[numbers], 0)
-        ends = np.cumsum(each)
-        return self.flat[np.repeat(self.start[numbers] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)], each
-
-
 class ByteBpe:
     """Ids of a byte-level BPE file of the tokenizers library, without special tokens being added.
 
@@ -81,7 +51,7 @@ class ByteBpe:
         self._empty()
 
     def _empty(self) -> None:
-        self.heads, self.later, self.head_ids, self.later_ids = _Numbers(), _Numbers(), _Bank(), _Bank()
+        self.heads, self.later, self.head_ids, self.later_ids = Numbers(), Numbers(), Bank(), Bank()
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -180,7 +180,7 @@ def test_sentencepiece_of_long_and_odd_texts(spark, none):
     texts = [None, "", " ", "   ", "a" * 700, *(" " * n + "x" for n in (1, 7, 14, 15, 16, 17, 29, 31, 47, 130)), "the" * 60, "a\u2581b", " lead", "trail ", "\x00\u200b\n\n\n", *("".join(rng.choice(list("abehinorst ▁é.,1"), 120)) for _ in range(60))]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, g int")
     want = {i: sp.encode(t or "") for i, t in enumerate(texts)}
-    for settings in ({}, {"group_bytes": 200, "cached": 5}):
+    for settings in ({}, {"group_chars": 200, "run_chars": 90, "cached": 5, "bucket_chars": 9}):
         got = {r.doc_id: r for r in sentencepiece_lattice.encode_texts(df, pieces, **settings).collect()}
         assert {i: list(r.ids) for i, r in got.items()} == want
         assert all(r.n_ids == len(want[i]) and r.ids_crc32 == zlib.crc32(np.array(want[i], dtype="<u4").tobytes()) for i, r in got.items())
