@@ -9,15 +9,17 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, read_table, words_of
+from foliant.llm.common import materialise, quoted, read_table, words_of
 from foliant.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 4, 1_000_000
 BLOCK, GUESTS, WEIGHT = 384, 1536, 2000  # sets of a unit, and of the units that one task compares with it; a set counts once more for each so many shingles
+BUCKET, WINDOW, MIN_BITS = 2_000_000, 1_000_000, 4  # tokens that meet in one task, and that a task gathers before it deals them; 2 to the power of MIN_BITS buckets at least
 RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's constants
 
@@ -68,14 +70,19 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + shared_at_least(n))
 
 
-def packed_tokens(x: np.ndarray) -> bytes:
-    """The upper 48 bits of each token: tokens that agree there make more candidates, never fewer."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def kept_bits(x: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits + 40 bits of each token, those that are dealt: bits name the bucket, and 5 bytes go with it."""
+    return x >> np.uint64(24 - bits)
 
 
-def unpacked_tokens(data: bytes) -> np.ndarray:
-    x = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    x[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+def packed(x: np.ndarray, width: int) -> bytes:
+    """The lower width bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    x = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    x[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
     return x.reshape(-1).view("<u8")
 
 
@@ -192,24 +199,33 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
-def _signatures(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), home (a token by which like sets lie together) and prefix (packed tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("home", pa.int64()), ("prefix", pa.binary())])
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _home(s: np.ndarray, often: np.ndarray) -> int | None:
+    """A token, in 40 bits, by which like sets lie together; sets of one home that have nothing in common cost time, not links."""
+    first = (s[often] if 2 * often.sum() >= len(s) else s)[:1]
+    return int(first[0] >> np.uint64(24)) if len(first) else None
+
+
+def _signatures(docs: DataFrame, size: int, hot: Broadcast) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, key (of the set), node (its first 8 bytes as a number) and home."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("home", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in schema]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle_set(text.as_py(), size, hashes)
-                often = _member(s, hot)
-                ordered = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), percent)] if len(s) else s
-                home = (s[often] if 2 * often.sum() >= len(s) else s)[:1].view(np.int64)
-                for col, v in zip(rows, (doc, len(s), hashlib.md5(s.tobytes()).digest(), int(home[0]) if len(s) else None, packed_tokens(ordered)), strict=True):
+                text = text.as_py()
+                s = shingle_set(text, size, hashes)
+                key = hashlib.md5(s.tobytes()).digest()
+                for col, v in zip(rows, (doc, hashlib.md5((text or "").encode()).digest(), len(s), key, node_of(key), _home(s, _member(s, hot.value))), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, key binary, home long, prefix binary")
+    return docs.mapInArrow(sign, "doc_id long, digest binary, n_shingles long, key binary, node long, home long")
 
 
 def _merged(token, home, lo, hi):
@@ -220,37 +236,64 @@ def _merged(token, home, lo, hi):
     return token[new], home[new], (np.minimum.reduceat(lo, new) if len(new) else lo), (np.maximum.reduceat(hi, new) if len(new) else hi)
 
 
-def _candidate_homes(signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different homes (a < b) whose prefixes have enough tokens in common and whose sizes allow a link.
+def _dealt(docs: DataFrame, size: int, percent: int, hot: Broadcast, bits: int) -> DataFrame:
+    """Rows of a bucket: its tokens by home (5 bytes each), and once for those of a home and of sets of one size its 5 bytes, how many tokens they are, and the bounds of the sizes.
 
-    Copies have one home and the same tokens; they are merged before the shuffle, in each batch, and after it.
-    """
-    total = signed.agg(F.sum(F.length("prefix"))).head()[0] or 0
-    bits = max(4, int(total // 6 // 400_000).bit_length())
+    Tokens are gathered over whole windows of a task, so that copies merge and a row holds many tokens. Two tokens of one set that are the same as dealt would count once: such a set gets the lower bound 0, with which one token in common is enough."""
+    names = ("bucket", "token", "home", "times", "lo", "hi")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [unpacked_tokens(x.as_py()) for x in b.column(2)]
-            if not parts:
-                continue
-            n = [len(p) for p in parts]
-            home, size = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
-            token, home, lo, hi = _merged(np.concatenate(parts), home, size, size)
-            bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((home, bucket))  # homes in order are repeated bytes, which the shuffle compresses
+        hashes, held, n = _WordHash(), [], 0
+
+        def rows() -> pa.RecordBatch:
+            each = [len(t) for t, *_ in held]
+            home, lo, hi = (np.repeat(np.array([h[k] for h in held], np.int64), each) for k in (1, 2, 3))
+            token, home, lo, hi = _merged(np.concatenate([t for t, *_ in held]), home, lo, hi)
+            bucket = (token >> np.uint64(40)).astype(np.int64)
+            order = np.lexsort((hi, lo, home, bucket))
             token, home, lo, hi, bucket = (x[order] for x in (token, home, lo, hi, bucket))
-            at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            spans = [(k, at[k], at[k + 1]) for k in range(1 << bits) if at[k] < at[k + 1]]
-            cols = [pa.array([k for k, _, _ in spans], pa.int64()), pa.array([packed_tokens(token[i:j]) for _, i, j in spans], pa.binary())]
-            cols += [pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (home, lo.astype(np.int32), hi.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "token", "home", "lo", "hi"])
+            own = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            lo, hi, times = lo[own], hi[own], np.diff(np.r_[own, len(home)])
+            found, at = np.unique(bucket, return_index=True)
+            at, at_home = np.r_[at, len(bucket)], np.r_[np.searchsorted(own, at), len(own)]
+            spans = list(zip(at, at[1:], at_home, at_home[1:], strict=False))
+            cols = [pa.array(found, pa.int64()), [packed(token[i:j], 5) for i, j, _, _ in spans], [packed(home[own[i:j]], 5) for _, _, i, j in spans]]
+            cols += [[x[i:j].astype("<u4").tobytes() for _, _, i, j in spans] for x in (times, lo, hi)]
+            return pa.RecordBatch.from_arrays([cols[0], *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+
+        for b in batches:
+            for text in b.column(1):
+                s = shingle_set(text.as_py(), size, hashes)
+                if not len(s):
+                    continue
+                often = _member(s, hot.value)
+                tokens = kept_bits(np.concatenate([s[~often], s[often]])[: prefix_length(len(s), percent)], bits)
+                held.append((tokens, _home(s, often), len(s) if len(np.unique(tokens)) == len(tokens) else 0, len(s)))
+                n += len(tokens)
+                if n >= WINDOW:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
+
+    return docs.mapInArrow(deal, "bucket long, token binary, home binary, times binary, lo binary, hi binary")
+
+
+def _candidate_homes(docs: DataFrame, signed: DataFrame, size: int, percent: int, hot: Broadcast) -> DataFrame:
+    """Pairs of different homes (a < b) whose prefixes have enough tokens in common and whose sizes allow a link.
+
+    Copies have one home and the same tokens; they are merged before the shuffle, in each window, and after it. Prefixes are made anew from the texts: to write them takes more than to make them.
+    """
+    total = signed.agg(F.sum(F.col("n_shingles"))).head()[0] or 0
+    bits = min(24, max(MIN_BITS, int(total * (100 - percent + 6) // 100 // BUCKET).bit_length()))
 
     def summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(parts).groupby(["a", "b"], as_index=False, sort=False).agg({"n": "sum", "lo": "min"})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c, t: np.frombuffer(b"".join(pdf[c]), dtype=t)
-        token, home, lo, hi = _merged(unpacked_tokens(b"".join(pdf["token"])), whole("home", np.int64), whole("lo", np.int32).astype(np.int64), whole("hi", np.int32).astype(np.int64))
+        whole = lambda c: np.frombuffer(b"".join(pdf[c]), dtype="<u4").astype(np.int64)
+        times = whole("times")
+        token, home, lo, hi = _merged(unpacked(b"".join(pdf["token"]), 5), *(np.repeat(x, times) for x in (unpacked(b"".join(pdf["home"]), 5).astype(np.int64), whole("lo"), whole("hi"))))
         found, held, lag = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64)})], 0, 1
         at = np.arange(max(0, len(token) - 1))
         while len(at := at[at + lag < len(token)]) and len(at := at[token[at] == token[at + lag]]):
@@ -263,8 +306,7 @@ def _candidate_homes(signed: DataFrame, percent: int) -> DataFrame:
             lag += 1
         return summed(found)
 
-    dealt = signed.where("n_shingles > 0").select("home", "n_shingles", "prefix").mapInArrow(deal, "bucket long, token binary, home binary, lo binary, hi binary")
-    met = dealt.groupBy("bucket").applyInPandas(meet, "a long, b long, n long, lo long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
+    met = _dealt(docs, size, percent, hot, bits).groupBy("bucket").applyInPandas(meet, "a long, b long, n long, lo long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
     return met.where(F.col("n") >= 1 + F.floor(F.col("lo") * 6 / 100)).select("a", "b")
 
 
@@ -290,49 +332,49 @@ def unpacked_sets(sizes: bytes, vocab: bytes, steps: bytes) -> list[np.ndarray]:
     return [words[np.cumsum(x)] for x in np.split(each, np.cumsum(np.frombuffer(sizes, dtype="<u4"), dtype=np.int64)[:-1])]
 
 
-_PACK = "reps binary, copies binary, sizes binary, vocab binary, steps binary"
+_PACK = "nodes binary, copies binary, sizes binary, vocab binary, steps binary"
 
 
 def _packs(texts: DataFrame, size: int) -> DataFrame:
-    """texts: rep, key, copies, home, part and text, by home and part. Gives one row a unit, with its sets packed. Texts of another set than key's, as rows of one id can have, are left out."""
+    """texts: key, copies, home, part and text, by home and part. Gives one row a unit, with its sets packed. Texts of another set than key's, as rows of one id can have, are left out."""
     schema = pa.schema([("home", pa.int64()), ("part", pa.int32()), *((c.split()[0], pa.binary()) for c in _PACK.split(", "))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, hashes = None, {}, _WordHash()
 
         def close() -> pa.RecordBatch:
-            reps, copies = (np.array(x, dtype="<i8").tobytes() for x in zip(*((r, n) for (r, _), (n, _) in held.items()), strict=True))
-            row = [*now, reps, copies, *packed_sets([s for _, s in held.values()])]
+            nodes, copies = (np.array(x, dtype="<i8").tobytes() for x in zip(*((node_of(key), n) for key, (n, _) in held.items()), strict=True))
+            row = [*now, nodes, copies, *packed_sets([s for _, s in held.values()])]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
-            for i, (rep, key, copies, home, part) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)):
+            for i, (key, copies, home, part) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
                 if (home, part) != now:
                     if held:
                         yield close()
                     now, held = (home, part), {}
-                if (rep, key) not in held:
-                    s = shingle_set(b.column(5)[i].as_py(), size, hashes)
+                if key not in held:
+                    s = shingle_set(b.column(4)[i].as_py(), size, hashes)
                     if hashlib.md5(s.tobytes()).digest() == key:
-                        held[rep, key] = (copies, s)
+                        held[key] = (copies, s)
         if held:
             yield close()
 
-    return texts.select("rep", "key", "copies", "home", "part", "text").mapInArrow(pack, f"home long, part int, {_PACK}")
+    return texts.select("key", "copies", "home", "part", "text").mapInArrow(pack, f"home long, part int, {_PACK}")
 
 
 def _verified(tasks: DataFrame, percent: int) -> DataFrame:
     """tasks: packed units by task: the host (side 0; alone if its own sets are to be compared), then its guests. Gives (a, b, links): edges that span the links of each task, and with a = b and links above 0 how many documents each set links to."""
 
-    def unpacked(units: list[list]) -> tuple[list[int], list[int], list[np.ndarray]]:
-        reps, copies = (np.frombuffer(b"".join(u[k] for u in units), dtype="<i8").tolist() for k in (0, 1))
-        return reps, copies, [s for _, _, *packed in units for s in unpacked_sets(*packed)]
+    def opened(units: list[list]) -> tuple[list[int], list[int], list[np.ndarray]]:
+        nodes, copies = (np.frombuffer(b"".join(u[k] for u in units), dtype="<i8").tolist() for k in (0, 1))
+        return nodes, copies, [s for _, _, *packed in units for s in unpacked_sets(*packed)]
 
     def joined(host: list, alone: bool, guests: list[list]) -> pa.RecordBatch:
-        one, copies, left = unpacked([host])
+        one, copies, left = opened([host])
         linked = [(one[i], copies[i], one[j], copies[j]) for i, j in tree_join(left, None, percent)] if alone and len(left) > 1 else []
         if guests:
-            two, others, right = unpacked(guests)
+            two, others, right = opened(guests)
             linked += [(two[i], others[i], one[j], copies[j]) for i, j in tree_join(right, left, percent)]
         links: dict[int, int] = {}
         for a, n, b, m in linked:
@@ -368,24 +410,16 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links and class_id of every document.
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).where("doc_id is not null")
 
-    Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of size words (A-Z lowered, words [^\\x20\\x09-\\x0D]+).
-    class_id is the smallest id with the same set; component_id the smallest that links reach; n_links counts linked documents, copies included. Hashes of 64 bits stand for shingles.
 
-    1. Documents of one set make a class. 2. Of two linked sets, the first tokens in one global order share some: these go, packed, to
-    buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. The sets of a home are a unit, or several of about BLOCK sets, each packed once.
-    Of two candidates the larger home's units are hosts, and those of the other their guests, as are later units of one home. Each host is joined by prefix trees with itself and, in tasks of about GUESTS sets, with its guests.
-    Nothing is capped: a large group of near copies has many units, whose pairs are dealt over all tasks.
-
-    Null ids take no part and are not returned. Null and empty texts, or ones without words, have no shingles and link with nothing: each is its own component. Repeated rows are returned each, and are copies of each other;
-    rows of one id with different texts are judged by their texts. Columns beside the two are ignored. An empty table gives no rows.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = materialise(_signatures(docs, size, percent, _hot_tokens(docs, size)), "shingles")
-    classes = materialise(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("home").alias("home")), "classes")
-    across = materialise(_candidate_homes(signed, percent), "homes")
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """docs: doc_id and text. Gives doc_id, digest (of the text), n_shingles, component_id, n_links, class_id, and component: null without shingles, else one number for all that links reach."""
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(docs, size))
+    signed = materialise(_signatures(docs, size, hot), "shingles")
+    classes = materialise(signed.where("n_shingles > 0").groupBy("key").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("home").alias("home")), "classes")
+    across = materialise(_candidate_homes(docs, signed, size, percent, hot), "homes")
     ends = across.select(F.col("a").alias("home")).unionAll(across.select("b")).distinct().withColumn("met", F.lit(True))
     weight = F.sum(F.lit(1) + F.floor(F.col("n_shingles") / WEIGHT))
     homes = classes.groupBy("home").agg(F.count("*").alias("n"), weight.alias("w")).join(ends, "home", "left").where("n > 1 or met")
@@ -408,19 +442,44 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     packs = _packs(texts.repartition("home", "part").sortWithinPartitions("home", "part"), size)
     with _setting(docs.sparkSession, RUNTIME_FILTER, "1"):
         found = materialise(_verified(sides.join(packs, ["home", "part"]).repartition("task").sortWithinPartitions("task"), percent), "links")
-    component = connected_components(found.where("a <> b").select("a", "b"))
-    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    rows = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep", "copies"), "key", "left")
-    rows = rows.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    own = F.coalesce("rep", "doc_id")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", own).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), own.alias("class_id"))
+    linked = connected_components(found.where("a <> b").select("a", "b")).join(classes.select("node", "rep"), "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(least, "component").select("node", "component", "component_id")
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    rows = signed.where("n_shingles > 0").select("doc_id", "digest", "n_shingles", "key").join(classes.select("key", "node", "rep", "copies"), "key").join(linked, "node", "left").join(links, "node", "left")
+    rows = rows.select("doc_id", "digest", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("component"))
+    none = F.lit(None).cast("long")  # texts without words pass by the joins, where they would all have one key
+    return rows.unionAll(signed.where("n_shingles = 0").select("doc_id", "digest", "n_shingles", "doc_id", F.lit(0).cast("long"), "doc_id", none))
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links and class_id of every document.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of size words (A-Z lowered, words [^\\x20\\x09-\\x0D]+).
+    class_id is the smallest id with the same set; component_id the smallest that links reach; n_links counts linked documents, copies included. Hashes of 64 bits stand for shingles.
+
+    1. Documents of one set make a class. 2. Of two linked sets, the first tokens in one global order share some: these go, packed, to
+    buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. The sets of a home are a unit, or several of about BLOCK sets, each packed once.
+    Of two candidates the larger home's units are hosts, and those of the other their guests, as are later units of one home. Each host is joined by prefix trees with itself and, in tasks of about GUESTS sets, with its guests.
+    Nothing is capped: a large group of near copies has many units, whose pairs are dealt over all tasks.
+
+    Null ids take no part and are not returned. Null and empty texts, or ones without words, have no shingles and link with nothing: each is its own component. Repeated rows are returned each, and are copies of each other;
+    rows of one id with different texts are judged by their texts. Columns beside the two are ignored. An empty table gives no rows.
+    """
+    return _joined(_own(docs, id_col, text_col), size, percent).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with its own columns; of repeated ids one row. Rows with a null id stay."""
-    joined = ngram_jaccard_join(docs, id_col=id_col, text_col=text_col)
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """Of each component the row with the smallest id, with its own columns; ties go to the smaller md5 of the text, then to the smaller hash of the row. Rows with a null id, and texts without words, stay.
+
+    An id that stands at several texts is judged text by text. Columns of docs may have any names."""
+    joined = _joined(_own(docs, id_col, text_col), SHINGLE, PERCENT)
+    kept = joined.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("m")).select("m.*")
+    plain = joined.where("component is null").select("doc_id", "digest").distinct()
+    own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary"))).alias("digest"))
+    one = own.join(kept, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    rest = own.join(plain, ["doc_id", "digest"], "left_semi")
+    return one.select("row.*").unionAll(rest.select("row.*")).unionAll(own.where("doc_id is null").select("row.*"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

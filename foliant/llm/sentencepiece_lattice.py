@@ -21,6 +21,8 @@ from foliant.llm.common import Bank, Numbers, bucketed, quoted, read_table
 SPACE = "▁"
 #: Words of so many letters at most are folded in one number; cells of 48 places in a row of a longer word's state.
 SHORT, CELLS = 60, 48
+#: So many places of a long word go on together.
+STEP = 32
 
 
 @dataclass(frozen=True)
@@ -147,18 +149,24 @@ class Cutter:
         return [text[i:j] for i, j in pairwise([*begins.tolist(), len(text)])], np.diff(np.r_[np.searchsorted(begins, borders), len(begins)])
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and ids of each distinct word (none twice): substrings of bounded length are exploded, joined with the piece table (whose size is the model's), grouped by word, and folded."""
+def lattice(words: DataFrame, pieces: Pieces, width: int | None = None) -> DataFrame:
+    """word and ids of each distinct word (none twice): substrings of bounded length are exploded, joined with the piece table (whose size is the model's), grouped by word, and folded. width: over how many tasks words are dealt."""
     late = dict(pieces.late)
     ranks = {v: i for i, v in enumerate(sorted({row[2] for row in pieces.table}, reverse=True))}
     table = F.broadcast(words.sparkSession.createDataFrame([(*row, ranks[row[2]], late.get(row[0], 0)) for row in pieces.table], "piece string, id int, score double, rank int, late int"))
-    spread = words.select("word", F.length("word").alias("n")).withColumn("at", F.explode(F.expr("sequence(0, n - 1)")))
-    spread = spread.withColumn("len", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - at))"))).withColumn("piece", F.expr("substring(word, at + 1, len)"))
+    n = F.length("word")
+    keyed = words.select("word", n.alias("n"), F.when(n <= SHORT, F.col("word")).otherwise(F.concat(F.lit("\0"), F.md5(F.col("word").cast("binary")))).alias("key"))
+    keyed = keyed.repartition(width, "key") if width else keyed
+    # a long word goes on in parts, under a short name, or each of its substrings would have to be looked for in the whole word
+    parts = keyed.withColumn("base", F.explode(F.expr(f"sequence(0, n - 1, IF(n <= {SHORT}, {SHORT}, {STEP}))"))).withColumn("size", F.expr(f"IF(n <= {SHORT}, n, least({STEP}, n - base))"))
+    parts = parts.select("key", "n", "base", "size", F.expr(f"IF(n <= {SHORT}, word, substring(word, base + 1, {STEP + pieces.longest}))").alias("part"), F.expr(f"IF(n > {SHORT} AND base = 0, word, null)").alias("whole"))
+    spread = parts.withColumn("o", F.explode(F.expr("sequence(0, size - 1)"))).select("key", "n", "part", "o", (F.col("base") + F.col("o")).alias("at"), F.expr("IF(base + o = 0, whole, null)").alias("whole"))
+    spread = spread.withColumn("len", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - at))"))).select("key", "n", "at", "len", "whole", F.expr("substring(part, o + 1, len)").alias("piece"))
     edges = spread.join(table, "piece")
     if pieces.bpe:
         small = max(i for _, i, _ in pieces.table) < 1 << 18 and len(ranks) <= 1 << 18 and pieces.longest < 32
         return _merged(edges, SHORT if small else 0)
-    whole = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct((F.col("at").cast("long") * 4096 + F.col("len")).alias("k"), F.struct("score", "id").alias("v")))).alias("m"))
+    whole = edges.groupBy("key").agg(F.max("n").alias("n"), F.coalesce(F.max("whole"), F.first("key")).alias("word"), F.map_from_entries(F.collect_list(F.struct((F.col("at").cast("long") * 4096 + F.col("len")).alias("k"), F.struct("score", "id").alias("v")))).alias("m"))
     cut = whole.withColumn("b", _best_path(F.col("n"), F.col("m"), pieces.longest))
     return cut.select("word", F.expr("transform(sequence(0, size(b) - 2), i -> try_element_at(m, cast(b[i] AS bigint) * 4096 + b[i + 1] - b[i]).id)").alias("ids"))
 
@@ -173,7 +181,7 @@ def _merged(edges: DataFrame, short: int) -> DataFrame:
     small = F.col("n") <= short
     number = "shiftleft(cast(rank AS bigint), 45) | shiftleft(cast(at + late AS bigint), 39) | shiftleft(cast(len - late AS bigint), 34) | shiftleft(cast(63 - at AS bigint), 28) | shiftleft(cast(len AS bigint), 23) | cast(id AS bigint)"
     record = f"struct(rank, at + late AS turn, len - late AS reach, -at AS back, at, len, cast(at div {48 * CELLS} AS int) AS r, cast(at div 48 % {CELLS} AS int) AS c, cast(at % 48 AS int) AS o, shiftleft(2L, len) - 1 AS mask, shiftleft(1L, len) | 1L AS ends, id)"
-    e = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(small, F.expr(number)))).alias("ks"), F.sort_array(F.collect_list(F.when(~small, F.expr(record)))).alias("es"))
+    e = edges.groupBy("key").agg(F.max("n").alias("n"), F.coalesce(F.max("whole"), F.first("key")).alias("word"), F.sort_array(F.collect_list(F.when(small, F.expr(number)))).alias("ks"), F.sort_array(F.collect_list(F.when(~small, F.expr(record)))).alias("es"))
     at, ln = "(63 - (shiftright(e, 28) & 63))", "(shiftright(e, 23) & 31)"
     both = f"(shiftleft(1L, cast({at} AS int)) | shiftleft(1L, cast({at} + {ln} AS int)))"
     span = f"(shiftleft(2L, cast({at} + {ln} AS int)) - shiftleft(1L, cast({at} AS int)))"
@@ -335,8 +343,8 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = bucketed(rows.mapInArrow(number, "g long, docs array<string>, lengths array<int>, codes binary, bucket int, numbers binary, sizes binary, units binary"), "numbered", "g", width)
     asked = numbered.where("bucket IS NOT NULL").select("bucket", "g", "numbers", "sizes", "units").repartition(width, "bucket")
-    words = asked.select("bucket", "sizes", "units").groupBy("bucket").applyInArrow(distinct, "word string")
-    known = lattice(words.repartition(width, "word"), pieces).withColumn("home", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))
+    words = asked.groupBy("bucket").applyInArrow(distinct, "word string")
+    known = lattice(words, pieces, width).withColumn("home", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))
     back = asked.groupBy("bucket").cogroup(known.groupBy("home")).applyInArrow(answer, "g long, numbers binary, sizes binary, ids binary")
     texts = numbered.where("codes IS NOT NULL").select(F.col("g").alias("home"), "docs", "lengths", "codes")
     coded = texts.groupBy("home").cogroup(back.groupBy("g")).applyInArrow(assemble, "doc_id string, n_ids long, ids_crc32 long, text_crc32 long" + ", ids array<int>" * with_ids)
