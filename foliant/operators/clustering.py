@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators import checks
+from foliant.operators.labels import cluster_labels, label_scores, shelf_scores
+from foliant.operators.tables import placed
+from foliant.sources.scratch import materialise
+
 
 @dataclass(frozen=True)
 class Clusters:
@@ -103,8 +108,52 @@ def spherical_kmeans(items: DataFrame, k: int, *, max_rounds: int = 100, toleran
 
 
 def rank_members(assigned: DataFrame, id_col: str = "vec_id", representatives: int = 5) -> DataFrame:
-    """Rank by similarity in each cluster, from 1; its size; and whether it represents the cluster."""
-    w = Window.partitionBy("cluster_id")
-    ranked = assigned.withColumn("cluster_rank", F.row_number().over(w.orderBy(F.desc("similarity"), id_col)))
+    """Rank by similarity in each cluster, from 1; its size; and whether it represents the cluster. All clusters are sorted in ranges, so that a large one is not one task's; a cluster's rank is its place less those of the clusters before."""
+    ranked = placed(assigned, [F.col("cluster_id"), F.desc("similarity"), F.col(id_col)], "_place")
     sizes = assigned.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
-    return ranked.join(sizes, "cluster_id").withColumn("is_representative", F.col("cluster_rank") <= representatives)
+    before = F.coalesce(F.sum("cluster_size").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per cluster
+    ranked = ranked.join(F.broadcast(sizes.withColumn("_before", before)), "cluster_id").withColumn("cluster_rank", (F.col("_place") - F.col("_before")).cast("int")).drop("_place", "_before")
+    return ranked.withColumn("is_representative", F.col("cluster_rank") <= representatives)
+
+
+def size_stats(assigned: DataFrame) -> DataFrame:
+    """How many clusters there are, the least, median and most members, and all members."""
+    n = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"), F.sum("n").alias("members"))
+
+
+def top_shelves(members: DataFrame, most: int = 8) -> DataFrame:
+    """cluster_id, shelf, score and place of each cluster's heaviest cleaned shelves; ties in alphabetical order."""
+    scores = shelf_scores(members)
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "shelf"))).where(F.col("place") <= most)
+
+
+def cluster_summary(members: DataFrame, names: DataFrame, representatives: int = 5) -> DataFrame:
+    """A row per cluster: label, size, the names chosen for it, its 8 best names with raw scores of two decimals, its 8 heaviest shelves, and titles of its representatives. members: cluster_id, cluster_rank, book_id, title, popular_shelves; names: cluster_id, label."""
+    listed = lambda df, key, value, name: df.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda s: s["v"]).alias(name))
+    best = label_scores(members).where("place <= 8")
+    out = members.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")).join(names, "cluster_id", "left")
+    out = out.join(listed(best, F.col("place"), F.struct(F.col("name").alias("label"), F.round("raw", 2).alias("score")), "top_family_scores"), "cluster_id", "left")
+    out = out.join(listed(top_shelves(members), F.col("place"), F.col("shelf"), "top_cleaned_shelves"), "cluster_id", "left")
+    out = out.join(listed(members.where(F.col("cluster_rank") <= representatives), F.col("cluster_rank"), F.col("title"), "representative_titles"), "cluster_id", "left")
+    return out.withColumn("selected_label_families", F.split(F.regexp_replace("label", " I{2,}$", ""), " · "))
+
+
+def build_clusters(vectors: DataFrame, books: DataFrame, k: int = 24, *, key: str = "book_id", vector: str = "embedding", max_rounds: int = 100, tolerance: float = 1e-5, seed: int = 42, representatives: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The whole job: checks, clusters, ranks, labels; a table of books (with cluster_id, cluster_label, cluster_size, cluster_rank, centroid_similarity, centroid_distance, is_representative) and one of clusters.
+
+    Raises for blank or repeated ids, vectors that aren't finite or of one width, books without a vector and the other way round, and clusters that stay empty.
+    """
+    checks.require_columns(books, [key, "title", "popular_shelves"])
+    checks.expect_non_blank(books, key)
+    checks.expect_unique(books, key)
+    checks.expect_keys(vectors.select(key), books.select(key), key)
+    checks.expect_finite_vectors(vectors, vector, len(checks.expect_rows(vectors, k, "vectors").head()[vector]))
+    found = spherical_kmeans(vectors, k, max_rounds=max_rounds, tolerance=tolerance, seed=seed, id_col=key, vector=vector)
+    ranked = materialise(rank_members(found.assignments, key, representatives).join(books.select(key, "title", "popular_shelves"), key), "clusters")
+    if (n := ranked.select("cluster_id").distinct().count()) != k:
+        raise ValueError(f"{n} clusters of {k} have members")
+    names = cluster_labels(ranked)
+    out = ranked.join(F.broadcast(names.withColumnRenamed("label", "cluster_label")), "cluster_id", "left")
+    table = out.select(key, "title", "cluster_id", "cluster_label", F.col("cluster_size").cast("int").alias("cluster_size"), F.col("cluster_rank").cast("int").alias("cluster_rank"), F.col("similarity").cast("float").alias("centroid_similarity"), (1 - F.col("similarity")).cast("float").alias("centroid_distance"), "is_representative")
+    return table, cluster_summary(ranked, names, representatives)

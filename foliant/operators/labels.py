@@ -34,27 +34,29 @@ def one_age(chosen: list[str]) -> list[str]:
     return [n for n in chosen if n not in ages[1:]]
 
 
-def _roman(n: int) -> str:
-    return "".join(s * k for s, k in zip(("X", "IX", "V", "IV", "I"), (n // 10, n % 10 == 9, n % 10 in (5, 6, 7, 8), n % 10 == 4, 0 if n % 10 in (4, 9) else n % 5), strict=True))
-
-
 def unique_labels(names: dict[int, list[str]]) -> dict[int, str]:
-    """A label for each cluster, in order of id; one that is taken (as text, or as a set of words) gets another name from its next ones, from the last slot on, else a numeral. Without names: Neighborhood and the id."""
-    words = lambda s: frozenset(s.lower().replace("·", " ").split())
+    """A label for each cluster, in order of id. One that is taken, as text or as a set of names, gets one of its 6 next names: each is tried in all slots, from the last on, before the next name is.
+    If none helps, the label gets a suffix of as many I as are free, from two on. Without names: Neighborhood and the id."""
     taken: set = set()
     out = {}
-    free = lambda s: s not in taken and words(s) not in taken
+    free = lambda chosen: " · ".join(chosen) not in taken and frozenset(chosen) not in taken
     for c in sorted(names):
         chosen = pick(names[c])
-        label = " · ".join(chosen) or f"Neighborhood {c}"
-        if not free(label):
-            others = [n for n in names[c] if n not in chosen][:6]
-            tries = (" · ".join(one_age([*chosen[:i], o, *chosen[i + 1 :]])) for i in reversed(range(len(chosen))) for o in others)
-            label = next((t for t in tries if free(t)), label)
-        n, base = 2, label
-        while not free(label):
-            label, n = f"{base} {_roman(n)}", n + 1
-        taken |= {label, words(label)}
+        if not chosen:
+            out[c] = f"Neighborhood {c}"
+            continue
+        others = [n for n in names[c] if n not in chosen][:6]
+        swapped = (one_age([*chosen[:i], other, *chosen[i + 1 :]]) for other in others for i in reversed(range(len(chosen))))
+        best = next((t for t in ([chosen] if free(chosen) else swapped) if free(t)), None)
+        label = " · ".join(best or chosen)
+        if best:
+            taken.add(frozenset(best))
+        else:
+            n = 2
+            while f"{label} {'I' * n}" in taken:
+                n += 1
+            label = f"{label} {'I' * n}"
+        taken.add(label)
         out[c] = label
     return out
 

@@ -13,6 +13,13 @@ COMMON = {
 }
 
 
+def strict_english(text: Column, detect=None) -> Column:
+    """The text gate, then the classifier, which sees only what passes the gate."""
+    from foliant.functions.scalars import reads_latin
+
+    return F.when(reads_latin(text), (detect or detect_language)(text) == "en").otherwise(F.lit(False))
+
+
 def detect_language(text: Column) -> Column:
     """The language whose common words are most frequent (ties: in alphabetical order); und without any."""
     words = F.split(F.lower(text), r"[^\p{L}]+")

@@ -38,7 +38,9 @@ def persona(items: DataFrame, favorites: DataFrame, id_col: str = "vec_id", vect
 
 
 def recommend(items: DataFrame, favorites: DataFrame, metadata: DataFrame, n: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """rank, id, metadata and similarity of the n items nearest to the persona that aren't favourites themselves."""
+    """rank, id, metadata and similarity of the n items nearest to the persona that aren't favourites themselves. Without a known favourite there are none, with the same columns."""
+    if not favorites.join(items.select(id_col), id_col, "left_semi").head(1):
+        return items.select(id_col, F.lit(0.0).alias("similarity")).limit(0).join(metadata, id_col, "left").withColumn("average_rating", F.coalesce("average_rating", F.lit(0.0))).withColumn("rank", F.lit(1))
     q = F.array(*(F.lit(float(x)) for x in persona(items, favorites, id_col, vector)))
     score = F.when(norm(q) == 0, F.lit(0.0)).otherwise(dot(doubles(F.col(vector)), normalized(q)))
     scored = items.select(id_col, F.round(score, 6).alias("similarity")).join(favorites.select(id_col), id_col, "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.tables import dedupe
+from foliant.sources.scratch import path_exists
 
 
 def enrich(results: DataFrame, details: DataFrame, key: str = "book_id", suffix: str = "_ui") -> DataFrame:
@@ -32,3 +33,57 @@ def ui_cache(final: DataFrame, books: DataFrame, key: str = "book_id") -> DataFr
     joined = final.join(dedupe(books, [key], [F.col("title")]), key, "left")
     expect_none(joined.where("title is null").select(key), "no title")
     return joined
+
+
+def favorites_page(books: DataFrame, liked: list[str], key: str = "book_id") -> DataFrame:
+    """The liked books that are known, with their place among the liked ones from 1 (oldest first); a repeat keeps its first place."""
+    places = [(b, i) for i, b in enumerate(dict.fromkeys(map(str, liked)), 1)]
+    order = books.sparkSession.createDataFrame(places, f"{key} string, _fav_order int")
+    return books.withColumn(key, F.col(key).cast("string")).join(F.broadcast(order), key).orderBy("_fav_order")
+
+
+def recommendations(books: DataFrame, liked: list, personal, n: int = 5) -> tuple[str, DataFrame]:
+    """Mode and rows: the top rated without favourites, else what personal(liked, n) gives."""
+    if not liked:
+        ranked = cold_start(books, n)
+        return "top_rated", ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("average_rating"), F.desc("ratings_count"), "book_id")))
+    return "personalized", personal(liked, n)
+
+
+def cluster_list(members: DataFrame) -> DataFrame:
+    """cluster_id, cluster_label and cluster_size, the largest first."""
+    return members.select("cluster_id", "cluster_label", "cluster_size").distinct().orderBy(F.desc("cluster_size"), "cluster_id")
+
+
+def neighborhood(members: DataFrame, cluster_id: int, show: int | None = 10) -> DataFrame:
+    """A cluster's members by rank: the first 10, 25, 50, or all (None)."""
+    own = members.where(F.col("cluster_id") == cluster_id)
+    return (own if show is None else own.where(F.col("cluster_rank") <= show)).orderBy("cluster_rank")
+
+
+def shown_caption(total: int, show: int | None) -> str:
+    return f"All {total} books in this neighborhood" if show is None else f"Top {min(show, total)} most central to this neighborhood"
+
+
+def require_artifacts(spark: SparkSession, required: list[str], optional: list[str] = ()) -> list[str]:
+    """Raises with the names of required paths that don't exist; gives the optional ones that do."""
+    if missing := [p for p in required if not path_exists(spark, p)]:
+        raise FileNotFoundError(f"missing: {', '.join(missing)}")
+    return [p for p in optional if path_exists(spark, p)]
+
+
+class Artifacts:
+    """Tables by path, read once a session and kept in its cache, spilling to disk."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def table(self, path: str) -> DataFrame:
+        if path not in self.held:
+            self.held[path] = self.spark.read.parquet(path).persist()
+        return self.held[path]
+
+    def clear(self) -> None:
+        for df in self.held.values():
+            df.unpersist()
+        self.held.clear()

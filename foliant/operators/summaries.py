@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import random
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.scalars import text_or_empty
+from foliant.operators import checks
 from foliant.operators.tables import dedupe
 
 OUTPUT_DDL = "book_id string, ok boolean, judgment string, positive_aspects array<string>, negative_aspects array<string>, top_tags array<string>, error_type string, error_message string, attempts int, timestamp_utc string"
@@ -26,12 +27,7 @@ def latest(log: DataFrame, key: str = "book_id") -> DataFrame:
 
 
 def string_list(value, most: int) -> list[str]:
-    """A list, a JSON list or one text as a list of texts that aren't blank."""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except ValueError:
-            value = [value]
+    """A list's texts that aren't blank; anything else, texts too, gives none."""
     return [t for x in (value if isinstance(value, list) else []) if (t := str(x).strip())][:most]
 
 
@@ -85,3 +81,51 @@ def run_counts(items: DataFrame, log: DataFrame) -> DataFrame:
 
 def prompt_text() -> F.Column:
     return F.concat_ws("\n\n", F.concat(F.lit("Book: "), "title"), F.concat(F.lit("Average rating: "), F.col("average_rating").cast("string")), "rating_distribution_text", "reviews_text_block")
+
+
+def empty_log(spark: SparkSession) -> DataFrame:
+    """The typed table that is written where no item was ever run."""
+    return spark.createDataFrame([], OUTPUT_DDL)
+
+
+def compacted(log: DataFrame, path: str) -> DataFrame:
+    """The last row of each item, written as a table of its own; an empty log gives an empty typed table."""
+    from foliant.sources.raw import write_table
+
+    write_table(latest(log), path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def run_averages(log: DataFrame) -> DataFrame:
+    """Mean input characters and output tokens of the successes; null without any."""
+    return log.where("ok").agg(F.avg("input_chars").alias("mean_input_chars"), F.avg("output_tokens").alias("mean_output_tokens"))
+
+
+FINAL_COLUMNS = ("book_id", "title", "overall_judgment", "positive_aspects", "negative_aspects", "top_tags")
+
+
+def compact_json(c: F.Column) -> F.Column:
+    """JSON without spaces, with characters beyond ASCII as they are."""
+    return F.to_json(c)
+
+
+def stored_tags(df: DataFrame, column: str = "top_tags") -> tuple[DataFrame, str]:
+    """Trimmed tags that aren't blank, and how they are stored: a list column stays one; texts become compact JSON where they hold a JSON list, and stay trimmed texts where they don't (null: empty)."""
+    if df.schema[column].dataType.simpleString().startswith("array"):
+        return df.withColumn(column, F.filter(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")), "list"
+    text = text_or_empty(F.col(column))
+    parsed = F.from_json(text, "array<string>")
+    tags = F.filter(F.transform(parsed, lambda t: F.trim(t)), lambda t: t != "")
+    return df.withColumn(column, F.when(F.startswith(text, F.lit("[")) & parsed.isNotNull(), compact_json(tags)).otherwise(text)), "json_string"
+
+
+def final_artifact(outputs: DataFrame, ids: DataFrame) -> tuple[DataFrame, dict]:
+    """The final columns of a run's outputs, trimmed, and the details of their checks. Raises for missing columns, blank or repeated ids, ids that aren't those expected, and blank judgments or tags."""
+    checks.require_columns(outputs, list(FINAL_COLUMNS))
+    rows, storage = stored_tags(outputs.select(*FINAL_COLUMNS).withColumns({"book_id": text_or_empty(F.col("book_id")), "overall_judgment": text_or_empty(F.col("overall_judgment"))}))
+    for check in (lambda: checks.expect_non_blank(rows, "book_id"), lambda: checks.expect_unique(rows, "book_id"), lambda: checks.expect_keys(rows, ids, "book_id"), lambda: checks.expect_non_blank(rows, "overall_judgment")):
+        check()
+    blank = F.size("top_tags") == 0 if storage == "list" else F.col("top_tags") == ""
+    checks.expect_none(rows.where(blank).select("book_id"), "no tags")
+    n = rows.count()
+    return rows, {"final_output_rows": n, "sampled_books_expected": ids.count(), "all_book_ids_unique": True, "book_id_sets_match": True, "missing_from_final": 0, "extra_in_final": 0, "columns_written": list(FINAL_COLUMNS), "top_tags_storage_format": storage, "all_overall_judgment_non_empty": True, "all_top_tags_non_empty": True}

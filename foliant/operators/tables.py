@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import materialise
+
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -26,11 +28,39 @@ def active_users(interactions: DataFrame, books: DataFrame, least: int) -> DataF
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     """Each distinct key with its place among the sorted ones, from 0. Places come from counts of ranges of keys, so that no task sorts all of them."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranged = keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    return placed(keys, [F.col(key)], name).select(key, (F.col(name) - 1).cast("int").alias(name))
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place from 1 in the given total order. Ranges are dealt once and written with their number, so that counts and places speak of the same ones; the driver's part is a row per range."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").count()
-    starts = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.join(F.broadcast(starts), "_part").select(key, (F.col("_start") + local).cast("int").alias(name))
+    starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_local", local).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
+
+
+def sampled_tables(ids: DataFrame, **named: DataFrame) -> dict[str, DataFrame]:
+    """Each table's rows of the sampled books."""
+    return {name: df.join(ids.select("book_id").distinct(), "book_id", "left_semi") for name, df in named.items()}
+
+
+def prototype(books: DataFrame, interactions: DataFrame, reviews: DataFrame, size: int, least: int) -> dict[str, DataFrame]:
+    """The most rated books, interactions with them of users who have least or more, and their reviews."""
+    top = books.orderBy(F.desc("ratings_count"), "book_id").limit(size)
+    found = sampled_tables(top, interactions=interactions, reviews=reviews)
+    users = found["interactions"].groupBy("user_id").count().where(F.col("count") >= least)
+    return {"books": top, "interactions": found["interactions"].join(users, "user_id", "left_semi"), "reviews": found["reviews"]}
+
+
+def counts_per_book(reviews: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sum, median, least and most reviews of the given books, those without any among them."""
+    n = ids.select("book_id").join(reviews.groupBy("book_id").agg(F.count("*").alias("n")), "book_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return n.agg(F.sum("n").alias("total"), F.percentile("n", 0.5).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def length_stats(df: DataFrame, text: str) -> DataFrame:
+    return df.agg(F.percentile(F.length(text), 0.5).alias("median_chars"), F.max(F.length(text)).alias("most_chars"))
 
 
 def catalog_sample(books: DataFrame, interactions: DataFrame, reviews: DataFrame, least_reviews: int, least_interactions: int, size: int) -> DataFrame:
@@ -73,7 +103,7 @@ def drop_reasons(reviews: DataFrame, known: DataFrame) -> DataFrame:
     marked = reviews.join(known.select("book_id", F.lit(True).alias("_known")), "book_id", "left")
     first = F.when(F.col("_known").isNull(), "book").when(F.coalesce(number_or_null(F.col("rating")), F.lit(0.0)) <= 0, "rating").when(text_or_empty(F.col("review_text")) == "", "text")
     marked = marked.withColumn("reason", first)
-    again = F.row_number().over(Window.partitionBy("book_id", "user_id", "review_text", F.col("reason").isNull()).orderBy("review_id"))
+    again = F.row_number().over(Window.partitionBy("book_id", "user_id", F.sha2(F.col("review_text").cast("binary"), 256), F.col("reason").isNull()).orderBy("review_id"))
     marked = marked.withColumn("reason", F.coalesce("reason", F.when(again > 1, "duplicate"), F.when(word_count(F.col("review_text")) < 10, "short"), F.lit("kept")))
     return marked.groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from foliant.functions import shelves as H
 from foliant.operators.language import COMMON
-from foliant.plans.queries import VIEWS
+from foliant.operators.text_search import encode_query, word_hash_encoder
+from foliant.plans.queries import LIKED, THEME, VIEWS
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _UNIT = "list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12))"
@@ -109,3 +110,39 @@ SELECT s.*, title FROM s LEFT JOIN books USING (book_id)"""),
     "value_counts": "SELECT event_type, count(*) AS n, round(avg(CAST(value > 50 AS INTEGER)), 6) AS above, count(props) AS with_props FROM events GROUP BY 1",
     "clip_log_length": "SELECT doc_id, least(n_chars, 500) AS clipped, round(CASE WHEN n_chars > 0 THEN log10(n_chars) END, 6) AS log10_chars FROM documents",
 }
+
+_SHELF_RANKS = "k AS (SELECT book_id, title, CAST(book_id AS INTEGER) % 7 AS cluster_id, row_number() OVER (PARTITION BY CAST(book_id AS INTEGER) % 7 ORDER BY ratings_count DESC, book_id) AS r FROM books)"
+_WEIGHT = "sum(CASE WHEN r <= 10 THEN 3.0::DOUBLE WHEN r <= 50 THEN 1.5 ELSE 1.0 END)"
+_TOP_SHELVES = f"{CLEAN}, {_SHELF_RANKS}, ts AS (SELECT cluster_id, shelf, {_WEIGHT} AS score, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY {_WEIGHT} DESC, shelf) AS INTEGER) AS place FROM z JOIN k USING (book_id) GROUP BY 1, 2 QUALIFY place <= 8)"
+_RUN = "log AS (SELECT o_orderkey % 3 = 0 AS ok, o_custkey AS input_chars, o_orderkey % 1000 AS output_tokens FROM orders)"
+_NAME = f"coalesce({_map(H.FAMILY_OF)}[shelf], {_map(H.OWN_DISPLAY)}[shelf], {_TITLE})"
+ORACLE |= {
+    "thematic_search": W(f""", v AS (SELECT CAST(vec_id AS STRING) AS book_id, round(list_dot_product({_E}, {encode_query(word_hash_encoder(64), THEME, 64)}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, book_id LIMIT 10)
+SELECT book_id, title, average_rating, ratings_count, text_reviews_count, score FROM v JOIN books USING (book_id)"""),
+    "favorites_page": W(f", f AS (SELECT unnest({list(dict.fromkeys(LIKED))}) AS book_id, CAST(unnest(range(1, {len(set(LIKED)) + 1})) AS INTEGER) AS _fav_order) SELECT book_id, title, _fav_order FROM f JOIN books USING (book_id)"),
+    "cluster_list": f"WITH {MEMBERS} SELECT DISTINCT cluster_id, concat('c', cluster_id) AS cluster_label, cluster_size FROM m",
+    "neighborhood_show_limit": f"WITH {MEMBERS} SELECT vec_id, CAST(cluster_rank AS INTEGER) AS cluster_rank, concat('c', cluster_id) AS cluster_label FROM m WHERE cluster_id = 2 AND cluster_rank <= 25",
+    "recommendations_mode": W("SELECT CAST(row_number() OVER (ORDER BY average_rating DESC, ratings_count DESC, book_id) AS INTEGER) AS rank, book_id, 'top_rated' AS mode FROM books QUALIFY rank <= 5"),
+    "cluster_size_stats": f"WITH {MEMBERS}, n AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1) SELECT count(*) AS clusters, min(n) AS least, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, max(n) AS most, CAST(sum(n) AS BIGINT) AS members FROM n",
+    "cluster_top_shelves": W(f", {_TOP_SHELVES} SELECT * FROM ts"),
+    "cluster_summary": W(f""", {_TOP_SHELVES}, g AS (SELECT cluster_id, {_NAME} AS name, {_WEIGHT} AS raw FROM z JOIN k USING (book_id) GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY raw * CASE WHEN name IN {_list(H.GENERIC_DISPLAYS)} THEN 0.15::DOUBLE ELSE 1 END DESC, raw DESC, name) AS place FROM g QUALIFY place <= 8)
+SELECT cluster_id, count(*) AS cluster_size, (SELECT string_agg(concat(name, ':', printf('%.2f', raw)), '|' ORDER BY place) FROM q WHERE q.cluster_id = k.cluster_id) AS best,
+  (SELECT string_agg(shelf, '|' ORDER BY place) FROM ts WHERE ts.cluster_id = k.cluster_id) AS top_cleaned_shelves, string_agg(title, '|' ORDER BY r) FILTER (r <= 5) AS representative_titles, concat('A|c', cluster_id) AS selected_label_families FROM k GROUP BY cluster_id"""),
+    "final_artifact": W("""SELECT book_id, title, description AS overall_judgment, 'p' AS positive_aspects, 'n' AS negative_aspects,
+  CASE WHEN CAST(book_id AS INTEGER) % 2 = 0 THEN concat('["', replace(popular_shelves, ',', '","'), '"]') ELSE popular_shelves END AS top_tags FROM books"""),
+    "run_averages": f"WITH {_RUN} SELECT round(avg(input_chars), 6) AS mean_input_chars, round(avg(output_tokens), 6) AS mean_output_tokens FROM log WHERE ok",
+    "run_counts": f"WITH {_RUN} SELECT count(*) AS items, count(*) FILTER (ok AND output_tokens < 500) AS succeeded, count(*) FILTER (NOT ok AND output_tokens < 500) AS failed, count(*) FILTER (NOT (ok AND output_tokens < 500)) AS unresolved FROM log",
+    "run_outcomes_union": f"WITH {_RUN} SELECT CASE WHEN NOT ok THEN 'Refused' END AS error_type, count(*) AS n, CAST(sum(CASE WHEN ok THEN output_tokens END) AS BIGINT) AS tokens FROM log GROUP BY ok",
+    "review_count_stats": W(", n AS (SELECT b.book_id, count(r.book_id) AS n FROM books b LEFT JOIN (SELECT * FROM reviews WHERE rating > 0) r USING (book_id) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, min(n) AS least, max(n) AS most FROM n"),
+    "text_length_stats": "SELECT quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS median_chars, CAST(max(length(text)) AS INTEGER) AS most_chars FROM documents",
+    "strict_english": f"""WITH c AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM documents),
+e AS (SELECT doc_id, length(trim(text)) >= 20 AND letters >= 15 AND latin >= letters * 0.85::DOUBLE AND len(list_filter(t, lambda x: regexp_matches(x, '\\p{{L}}'))) >= 5 AS ok, {', '.join(map(_count_words, COMMON))} FROM c)
+SELECT doc_id, coalesce(ok AND en > 0 AND en > de AND en >= es AND en >= fr, false) AS english FROM e""",
+    "sampled_tables": W(f", {CATALOG} SELECT 'books' AS name, count(*) AS n FROM books SEMI JOIN c USING (book_id) UNION ALL SELECT 'interactions', count(*) FROM interactions SEMI JOIN c USING (book_id) UNION ALL SELECT 'reviews', count(*) FROM reviews SEMI JOIN c USING (book_id)"),
+    "prototype_subset": W(""", t AS (SELECT * FROM books ORDER BY ratings_count DESC, book_id LIMIT 200), i AS (SELECT * FROM interactions SEMI JOIN t USING (book_id))
+SELECT 'books' AS name, count(*) AS n FROM t UNION ALL SELECT 'interactions', count(*) FROM i WHERE user_id IN (SELECT user_id FROM i GROUP BY 1 HAVING count(*) >= 5) UNION ALL SELECT 'reviews', count(*) FROM reviews SEMI JOIN t USING (book_id)"""),
+    "line_filter_before_parse": "SELECT CAST(o_orderkey AS BIGINT) AS book_id, CAST(o_custkey AS BIGINT) AS n FROM orders WHERE o_orderkey IN (SELECT p_partkey * 3 FROM part)",
+    "compact_json": W("SELECT book_id, CAST(to_json(string_split(popular_shelves, ',')) AS VARCHAR) AS shelves FROM books"),
+    "input_checks": "SELECT count(*) AS n FROM part",
+}

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from foliant.functions import scalars as S
 from foliant.functions import shelves as H
 from foliant.functions import vectors as V
-from foliant.operators import clustering, labels, search, serve, summaries, tables
+from foliant.operators import checks, clustering, labels, search, serve, summaries, tables, text_search
+from foliant.operators.language import strict_english
+from foliant.sources.raw import line_id, lines_of
 
 BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, p_name AS title, concat(p_type, ' ', p_brand) AS description, p_brand AS publisher,
   p_size * 40 AS num_pages, ROUND(1 + CAST(p_partkey * 37 % 401 AS DOUBLE) / 100, 2) AS average_rating,
@@ -19,6 +21,7 @@ INTERACTIONS = "SELECT CAST(o_custkey AS STRING) AS user_id, CAST(l_partkey AS S
 REVIEWS = """SELECT CAST(doc_id AS STRING) AS review_id, CAST(doc_id % 97 AS STRING) AS user_id, CAST(doc_id % 20 AS STRING) AS book_id, CAST(doc_id * 7 % 6 AS INT) AS rating, text AS review_text,
   CASE WHEN doc_id % 3 = 0 THEN '' WHEN lang = 'en' THEN 'en-US' ELSE lang END AS language_code, CAST(n_chars % 50 AS INT) AS n_votes FROM documents"""
 VIEWS = f"WITH books AS ({BOOKS}), interactions AS ({INTERACTIONS}), reviews AS ({REVIEWS})"
+THEME, LIKED = " a quiet novel of the northern sea ", ["17", "3", "42", "17", "99999999"]
 FAVORITES = [(0, 3), (1, 17), (2, 42), (3, 99_999)]
 
 
@@ -301,6 +304,123 @@ def _log_length(spark, d):
     return table(spark, d, "documents").select("doc_id", F.least("n_chars", F.lit(500)).alias("clipped"), F.round(F.when(F.col("n_chars") > 0, F.log10(F.col("n_chars").cast("double"))), 6).alias("log10_chars"))
 
 
+def _thematic(spark, d):
+    v = vectors(spark, d).select(F.col("vec_id").cast("string").alias("book_id"), "embedding")
+    return text_search.thematic_search(v, books(spark, d), THEME, text_search.word_hash_encoder(64), 10, width=64)
+
+
+def _favorites_page(spark, d):
+    return serve.favorites_page(books(spark, d), LIKED).select("book_id", "title", "_fav_order")
+
+
+def _labelled(spark, d):
+    return _members(spark, d).withColumn("cluster_label", F.concat(F.lit("c"), F.col("cluster_id").cast("string")))
+
+
+def _cluster_list(spark, d):
+    return serve.cluster_list(_labelled(spark, d))
+
+
+def _show_limit(spark, d):
+    return serve.neighborhood(_labelled(spark, d), 2, 25).select("vec_id", "cluster_rank", "cluster_label")
+
+
+def _cold_mode(spark, d):
+    mode, rows = serve.recommendations(books(spark, d), [], None)
+    return rows.select("rank", "book_id", F.lit(mode).alias("mode"))
+
+
+def _size_stats(spark, d):
+    return clustering.size_stats(_members(spark, d))
+
+
+def _top_shelves(spark, d):
+    return clustering.top_shelves(_shelf_members(spark, d)).select("cluster_id", "shelf", "score", "place")
+
+
+def _cluster_summary(spark, d):
+    m = _shelf_members(spark, d)
+    names = m.select("cluster_id", F.concat(F.lit("A · c"), F.col("cluster_id").cast("string"), F.lit(" II")).alias("label")).distinct()
+    s = clustering.cluster_summary(m, names)
+    best = F.array_join(F.transform("top_family_scores", lambda x: F.concat_ws(":", x["label"], F.format_string("%.2f", x["score"]))), "|")
+    return s.select("cluster_id", "cluster_size", best.alias("best"), *(F.array_join(c, "|").alias(c) for c in ("top_cleaned_shelves", "representative_titles", "selected_label_families")))
+
+
+def _final(spark, d):
+    b = books(spark, d)
+    raw = F.when(F.col("book_id").cast("int") % 2 == 0, F.concat(F.lit('[" '), F.replace("popular_shelves", F.lit(","), F.lit(' ", "')), F.lit('", ""]'))).otherwise(F.col("popular_shelves"))
+    outputs = b.select(F.concat(F.lit(" "), "book_id", F.lit(" ")).alias("book_id"), "title", F.concat(F.lit("  "), "description").alias("overall_judgment"), F.lit("p").alias("positive_aspects"), F.lit("n").alias("negative_aspects"), raw.alias("top_tags"))
+    return summaries.final_artifact(outputs, b.select("book_id"))[0]
+
+
+def _run_log(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("book_id"), (F.col("o_orderkey") % 3 == 0).alias("ok"), F.col("o_custkey").alias("input_chars"), (F.col("o_orderkey") % 1000).alias("output_tokens"), F.lit("t").alias("timestamp_utc"), F.lit(1).alias("attempts"))
+
+
+def _averages(spark, d):
+    return summaries.run_averages(_run_log(spark, d)).select(*(F.round(c, 6).alias(c) for c in ("mean_input_chars", "mean_output_tokens")))
+
+
+def _run_counts(spark, d):
+    log = _run_log(spark, d)
+    return summaries.run_counts(log, log.where("output_tokens < 500"))
+
+
+def _outcomes(spark, d):
+    log = _run_log(spark, d)
+    both = log.where("ok").select("book_id", "output_tokens").unionByName(log.where("not ok").select("book_id", F.lit("Refused").alias("error_type")), allowMissingColumns=True)
+    return both.groupBy("error_type").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("tokens"))
+
+
+def _review_counts(spark, d):
+    return tables.counts_per_book(reviews(spark, d).where("rating > 0"), books(spark, d))
+
+
+def _length_stats(spark, d):
+    return tables.length_stats(table(spark, d, "documents"), "text")
+
+
+def _strict(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(strict_english(F.col("text")), F.lit(False)).alias("english"))
+
+
+def _counted(named):
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in named.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def _sampled(spark, d):
+    return _counted(tables.sampled_tables(_catalog(spark, d), books=books(spark, d), interactions=interactions(spark, d), reviews=reviews(spark, d)))
+
+
+def _prototype(spark, d):
+    return _counted(tables.prototype(books(spark, d), interactions(spark, d), reviews(spark, d), 200, 5))
+
+
+def _line_filter(spark, d):
+    lines = table(spark, d, "orders").select(F.concat(F.lit('{"user_id": "u", "book_id": "'), F.col("o_orderkey").cast("string"), F.lit('", "n": '), F.col("o_custkey").cast("string"), F.lit("}")).alias("value"))
+    wanted = table(spark, d, "part").select((F.col("p_partkey") * 3).alias("book_id"))
+    return lines_of(lines, wanted).select(line_id(F.col("value")).cast("long").alias("book_id"), F.get_json_object("value", "$.n").cast("long").alias("n"))
+
+
+def _compact(spark, d):
+    return books(spark, d).select("book_id", summaries.compact_json(F.split("popular_shelves", ",")).alias("shelves"))
+
+
+def _checked(spark, d):
+    b, v = books(spark, d), vectors(spark, d)
+    checks.require_columns(b, ["book_id", "title"])
+    checks.expect_unique(b, "book_id")
+    checks.expect_non_blank(b, "title")
+    checks.expect_keys(b.select("book_id"), b, "book_id")
+    checks.expect_finite_vectors(v, "embedding", 64)
+    checks.expect_group_size(b.select("book_id"), "book_id", 1)
+    return checks.expect_rows(checks.existing_columns(b, ["book_id", "no such column"]), 10, "books").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "similar_items_topk": _similar, "vector_l2_normalize": _normalized, "layernorm_truncate_l2": _layernorm, "recency_weights": _weights, "recommend_topn": _recommend, "coldstart_top_rated": _cold,
     "cluster_assign_step": _assign, "cluster_rank_representatives": _ranked, "spherical_kmeans": _kmeans, "books_filter_project": _book_rows, "interactions_active_users": _active, "dense_index": _index,
@@ -310,4 +430,7 @@ QUERIES = {
     "cluster_label_scores": _label_scores, "cluster_labels": _labels, "pending_anti_join": _pending, "jsonl_tolerant_parse": _jsonl, "tags_normalize": _tags, "ui_cache_join": _ui, "result_enrichment": _enriched,
     "search_page": _page, "neighborhood_slice": _slice, "display_scalars": _display, "controversy_score": _controversy, "shelf_top30": _shelf30, "field_coverage": _coverage, "sparsity": _sparsity,
     "seeded_sample": _seeded, "equal_width_bins": _bins, "numeric_summary": _summary, "value_counts": _values, "clip_log_length": _log_length,
+    "thematic_search": _thematic, "favorites_page": _favorites_page, "cluster_list": _cluster_list, "neighborhood_show_limit": _show_limit, "recommendations_mode": _cold_mode, "cluster_size_stats": _size_stats,
+    "cluster_top_shelves": _top_shelves, "cluster_summary": _cluster_summary, "final_artifact": _final, "run_averages": _averages, "run_counts": _run_counts, "run_outcomes_union": _outcomes, "review_count_stats": _review_counts,
+    "text_length_stats": _length_stats, "strict_english": _strict, "sampled_tables": _sampled, "prototype_subset": _prototype, "line_filter_before_parse": _line_filter, "compact_json": _compact, "input_checks": _checked,
 }

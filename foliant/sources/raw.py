@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.scalars import first_field, joined_names, safe_float, safe_int, text_or_empty
@@ -14,9 +14,10 @@ REVIEW_DDL = "review_id string, user_id string, book_id string, rating string, r
 INTERACTION_DDL = "user_id string, book_id string, is_read tinyint, rating tinyint, is_reviewed tinyint"
 
 
-def read_json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """One object per line, gzipped or not; the lines that aren't come with _bad true. Files that can't be split are dealt out again after parsing starts."""
+def read_json_lines(spark: SparkSession, path: str, ddl: str, deal: int | None = None) -> DataFrame:
+    """One object per line, gzipped or not; the lines that aren't come with _bad true. deal: over how many tasks lines are dealt before they are parsed, for files that can't be split, such as gzip."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.repartition(deal) if deal else lines
     parsed = lines.select("value", F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     is_object = F.trim("value").startswith("{")
     return parsed.select("r.*", is_object.alias("_object")).withColumn("_bad", F.col("_bad").isNotNull() | ~F.col("_object")).drop("_object")
@@ -68,6 +69,17 @@ def reviews_table(raw: DataFrame, books: DataFrame, detect=None) -> DataFrame:
     return dedupe(rows, ["review_id"], [F.col("book_id"), F.col("user_id"), F.col("review_text")])
 
 
+def line_id(line: Column, field: str = "book_id") -> Column:
+    """The digits that first stand as the field's value in a raw line; empty without any."""
+    return F.regexp_extract(line, f'"{field}":\\s*"?(\\d+)', 1)
+
+
+def lines_of(lines: DataFrame, ids: DataFrame, field: str = "book_id") -> DataFrame:
+    """The raw lines whose id is among ids, before they are parsed."""
+    keyed = lines.withColumn("_id", line_id(F.col("value"), field))
+    return keyed.join(ids.select(F.col(field).cast("string").alias("_id")).distinct(), "_id", "left_semi").drop("_id")
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """rank and id of a JSON array of ids; repeats keep their first place."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "id")).groupBy("id").agg(F.min("pos").alias("rank"))
