@@ -2,59 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import materialise, remove_path, scratch_path, scratch_root  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/foliant-scratch"
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{scratch_root(spark)}/foliant-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove_path(spark, path)
-    except Exception:  # the JVM may be gone already
-        pass
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def quoted(name: str) -> str:
     """A column's name, whatever characters it has."""
     return f"`{name.replace('`', '``')}`"
