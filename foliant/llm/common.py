@@ -22,6 +22,14 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as set it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucketed(df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
     """As materialise(), with the rows of a value of column by in one bucket, so that what is grouped by it is not shuffled again."""
     spark, name = df.sparkSession, f"foliant_{label}_{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import held_out, read_table
@@ -75,8 +75,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3):
     return mean, spread, beta
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = 3000, max_text_bytes: int = 200_000, dict_bytes: int = 65_536, chunk: int = 2048) -> CompressionModel:
-    """Fit on a bounded sample: of each class, the sample_per_class documents lowest by hash of id, but for texts of over max_text_bytes.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = 3000, max_text_bytes: int = 200_000, max_class_bytes: int = 64 << 20, dict_bytes: int = 65_536, chunk: int = 2048) -> CompressionModel:
+    """Fit on a bounded sample: of each class, the sample_per_class documents lowest by hash of id, but for texts of over max_text_bytes, and of these the first that make up max_class_bytes together: so much comes to the driver.
 
     Rows of labels with a null id or label, and ids labelled both ways, teach nothing. Every second row of the sample makes the
     dictionaries; the others, weighted to the classes' true shares, calibrate the features. With one class only, or none, every score is that share (0.5 without labels).
@@ -89,7 +89,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     order = F.xxhash64("i")
     chosen = known.where("y = 1").orderBy(order, "i").limit(sample_per_class).unionAll(known.where("y = 0").orderBy(order, "i").limit(sample_per_class))
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.octet_length("t") <= max_text_bytes)
-    rows = sorted({(r["i"], r["y"], r["t"]) for r in own.join(F.broadcast(chosen), "i").collect()}, key=lambda r: (hash_order(r[0]), r[0], r[2]))
+    rows = sorted({(r["i"], r["y"], r["t"]) for r in own.join(F.broadcast(chosen), "i").withColumn("b", F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(order, "i", F.md5(F.col("t").cast("binary"))))).where(F.col("b") <= max_class_bytes).collect()}, key=lambda r: (hash_order(r[0]), r[0], r[2]))
     halves = {y: [r for r in rows if r[1] == y] for y in (0, 1)}
     made = {y: [r[2].encode("utf-8", "surrogatepass") for r in v[::2]] for y, v in halves.items()}
     rest = [r for v in halves.values() for r in (v[1::2] or v)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, read_table
+from foliant.llm.common import materialise, quoted, read_table, unused
 
 #: kind, pattern, group that holds the value, least length of the value; in the order of the list that ties follow
 KINDS = (
@@ -14,6 +14,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # as [0-9a-f]+ of 24 or more
 )
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
+WORDY = "[-_/]|[A-Za-z]{5}"  # separators or words, as slugs, paths and names of files have
 MARK = "[SECRET]"
 
 
@@ -43,7 +44,7 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, r
     rows = rows.withColumn("opaque", _spans(F.col("text"), "opaque", len(KINDS), OPAQUE, 0, 20))
     base = F.concat(*(F.col(k) for k, *_ in KINDS))
     apart = lambda o: ~F.exists(base, lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
-    mixed = lambda o: o["value"].rlike("[0-9]") & o["value"].rlike("[A-Za-z]")
+    mixed = lambda o: o["value"].rlike("[0-9]") & ((o["value"].rlike("[a-z]") & o["value"].rlike("[A-Z]")) | (o["value"].rlike("[A-Za-z]") & ~o["value"].rlike(WORDY)))
     hashed = lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), F.md5(s["value"].cast("binary")).alias("hash"))
     return rows.select("doc_id", "key", "owner", "repo", F.array_sort(F.transform(base, hashed)).alias("base"), F.transform(F.filter("opaque", lambda o: mixed(o) & apart(o)), hashed).alias("opaque"))
 
@@ -63,7 +64,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, key and spans: array<struct<start, ord, kind, end, hash, owners, repos, live>> of every row, by start, then kind.
 
     Kinds assign, access and hex are always in it. A candidate whose value at most most_owners owners use, in most_repos repositories of theirs at most, is live; a wider used one is an example.
-    Opaque strings (20 or more characters of an alphabet of tokens, a letter and a digit among them, outside the other spans) are in it only if live. Ends are exclusive; places are code points.
+    Opaque strings (20 or more characters of an alphabet of tokens, outside the other spans) are in it only if live and live-looking: with a digit, and either letters of both cases, or letters without a separator or a run of five letters; slugs and paths are neither. Ends are exclusive; places are code points.
 
     Null texts are empty and have no spans; null ids stay null; null owners or repositories count as one. Repeated rows are returned each. Columns beside the four are ignored. An empty table gives no rows.
     """
@@ -81,20 +82,21 @@ def _listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", owner_col: str = "source", mark: str = MARK) -> DataFrame:
     """docs with each found span (or run of spans that overlap) replaced by mark, and its length set anew where a text changed. All rows and columns stay."""
-    found = scan_secrets(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=id_col).where(F.size("spans") > 0).select(F.col("key").alias("_span_key"), F.col("spans").alias("_spans")).dropDuplicates(["_span_key"])
-    text = F.col(text_col)
-    joined = docs.join(found, row_key(F.col(id_col), F.coalesce(text.cast("string"), F.lit(""))) == F.col("_span_key"), "left")
+    key, spans, changed = (unused(docs.columns, c) for c in ("span_key", "spans", "changed"))
+    found = scan_secrets(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=id_col).where(F.size("spans") > 0).groupBy(F.col("key").alias(key)).agg(F.first("spans").alias(spans))
+    text = F.col(quoted(text_col))
+    joined = docs.withColumn(key, row_key(F.col(quoted(id_col)), F.coalesce(text.cast("string"), F.lit("")))).join(found, key, "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", zero, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))))
-    out = joined.withColumn("_changed", F.col("_spans").isNotNull()).withColumn(text_col, clean)
+    clean = F.when(F.col(spans).isNull(), text).otherwise(F.aggregate(spans, zero, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))))
+    out = joined.withColumn(changed, F.col(spans).isNotNull()).withColumn(text_col, clean)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("_changed"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        out = out.withColumn(length_col, F.when(F.col(changed), F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(quoted(length_col))))
+    return out.select(*map(quoted, docs.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 a AS ({' UNION ALL '.join(one(o, *k) for o, k in enumerate(kinds))}),
 b AS (SELECT * FROM a WHERE ord < 3 UNION ALL
-  SELECT * FROM a o WHERE ord = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM a x WHERE x.ord < 3 AND x.doc_id = o.doc_id AND x.s < o.e AND o.s < x.e)),
+  SELECT * FROM a o WHERE ord = 3 AND regexp_matches(v, '[0-9]') AND (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') OR regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{WORDY}')) AND NOT EXISTS (SELECT 1 FROM a x WHERE x.ord < 3 AND x.doc_id = o.doc_id AND x.s < o.e AND o.s < x.e)),
 f AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repos FROM b GROUP BY v),
 j AS (SELECT b.*, owners <= 1 AND repos <= 3 AS live FROM b JOIN f USING (v)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

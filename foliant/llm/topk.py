@@ -15,12 +15,15 @@ LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def inner_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products. In doubles where no partial sum can pass 2**53, else in Python's integers, held to the range of a long."""
+    """Exact integer products. In doubles where no partial sum can pass 2**53, else in Python's integers; raises if one is no long."""
     bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
     if bound < 2**53:
         return (queries @ rows.T).astype(np.int64)
     to_int = np.vectorize(int, otypes=[object])
-    return np.clip(to_int(queries) @ to_int(rows).T, *LONG).astype(np.int64)
+    found = to_int(queries) @ to_int(rows).T
+    if found.size and (found.max() > LONG[1] or found.min() < LONG[0]):
+        raise OverflowError("an inner product does not fit into a long")
+    return found.astype(np.int64)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -169,18 +169,23 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, out: str, with_payload: bool = False) -> DataFrame:
-    """The page records of the files that out/_manifest names; digests are checked against the blocks and payloads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out)
-    manifest = spark.read.schema(MANIFEST_DDL).parquet(f"{out}/_manifest").select("file")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest, "file", "left_semi")
+    """The page records of the files that out/_manifest names. Raises if one of them is gone, or has other bytes or another number of records than the manifest says, and if a record doesn't match its digests."""
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out)
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    manifest = spark.read.schema(MANIFEST_DDL).parquet(f"{out}/_manifest").select("file", "records", "bytes", "sha1")
+    if gone := [r["file"] for r in manifest.join(files.select("file", "length"), "file", "left").where("length is null or length <> bytes").select("file").limit(5).collect()]:
+        raise FileNotFoundError(f"gone, or not as long as the manifest says: {gone}")
+    files = files.select("file", "content").join(manifest, "file")
     ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())] + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for f, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
+            for content, sha1, records in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows, seen, content = [], 0, content.as_py()
+                if hashlib.sha1(content).hexdigest() != sha1:
+                    raise ValueError(f"the file of digest {sha1} has been altered")
+                for f, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
                     if f["warc-type"] == "warcinfo":
                         continue
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -190,14 +195,17 @@ def read_warc(spark: SparkSession, out: str, with_payload: bool = False) -> Data
                         raise ValueError(f"record {f['warc-record-id']} does not match its digest")
                     number = lambda k, f=f: int(f[k]) if k in f else None
                     row = {"page_id": number("x-page-id"), "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "refers_to": number("x-refers-to-page-id"), "payload_bytes": size, "payload_digest": known}
+                    seen += 1
                     rows.append(row | ({"payload": payload if f["warc-type"] == "response" else None} if with_payload else {}))
                     if len(rows) >= 2000:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
+                if seen != records:
+                    raise ValueError(f"{seen} records of {records} in the file of digest {sha1}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("content").mapInArrow(run, ddl)
+    return files.select("content", "sha1", "records").mapInArrow(run, ddl)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
