@@ -335,32 +335,40 @@ def unpacked_sets(sizes: bytes, vocab: bytes, steps: bytes) -> list[np.ndarray]:
 _PACK = "nodes binary, copies binary, sizes binary, vocab binary, steps binary"
 
 
-def _packs(texts: DataFrame, size: int) -> DataFrame:
-    """texts: key, copies, home, part and text, by home and part. Gives one row a unit, with its sets packed. Texts of another set than key's, as rows of one id can have, are left out."""
-    schema = pa.schema([("home", pa.int64()), ("part", pa.int32()), *((c.split()[0], pa.binary()) for c in _PACK.split(", "))])
+def _packs(texts: DataFrame, sides: DataFrame, size: int) -> DataFrame:
+    """texts: key, copies, home, part and text; sides: home, part, task, side and alone. Gives a row for each of sides, with the sets of its unit (home, part), packed once where its texts and sides meet. Texts of another set than key's, as rows of one id can have, are left out."""
+    fields = [("task", pa.string()), ("side", pa.int32()), ("alone", pa.bool_()), *((c.split()[0], pa.binary()) for c in _PACK.split(", "))]
+    schema = pa.schema(fields)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, hashes = None, {}, _WordHash()
-
-        def close() -> pa.RecordBatch:
-            nodes, copies = (np.array(x, dtype="<i8").tobytes() for x in zip(*((node_of(key), n) for key, (n, _) in held.items()), strict=True))
-            row = [*now, nodes, copies, *packed_sets([s for _, s in held.values()])]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
+        now, held, unit, hashes = None, {}, [], _WordHash()
         for b in batches:
-            for i, (key, copies, home, part) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
+            out: list[list] = []
+            for i, (home, part, kind, key, copies, task, side, alone) in enumerate(zip(*(c.to_pylist() for c in b.columns[:8]), strict=True)):
                 if (home, part) != now:
-                    if held:
-                        yield close()
-                    now, held = (home, part), {}
-                if key not in held:
-                    s = shingle_set(b.column(4)[i].as_py(), size, hashes)
-                    if hashlib.md5(s.tobytes()).digest() == key:
-                        held[key] = (copies, s)
-        if held:
-            yield close()
-
-    return texts.select("key", "copies", "home", "part", "text").mapInArrow(pack, f"home long, part int, {_PACK}")
+                    now, held, unit = (home, part), {}, []
+                if kind == 0:
+                    if key not in held:
+                        s = shingle_set(b.column(8)[i].as_py(), size, hashes)
+                        if hashlib.md5(s.tobytes()).digest() == key:
+                            held[key] = (copies, s)
+                    continue
+                if not unit and not held:  # a part that no set fell into
+                    continue
+                if not unit:
+                    nodes, times = (np.array(x, dtype="<i8").tobytes() for x in zip(*((node_of(k), n) for k, (n, _) in held.items()), strict=True))
+                    unit, held = [nodes, times, *packed_sets([s for _, s in held.values()])], {}
+                out.append([task, side, alone, *unit])
+                if len(out) >= 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    both = texts.select("home", "part", F.lit(0).alias("kind"), "key", "copies", none("string").alias("task"), none("int").alias("side"), none("boolean").alias("alone"), "text")
+    both = both.unionAll(sides.select("home", "part", F.lit(1), none("binary"), none("long"), "task", "side", "alone", none("string")))
+    return both.repartition("home", "part").sortWithinPartitions("home", "part", "kind").mapInArrow(pack, f"task string, side int, alone boolean, {_PACK}")
 
 
 def _verified(tasks: DataFrame, percent: int) -> DataFrame:
@@ -439,9 +447,8 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     wanted = classes.select("rep", "key", "copies", "home").join(homes, "home")
     wanted = materialise(wanted.select("rep", "key", "copies", "home", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")), "wanted")
     texts = wanted.where("copies > 0").join(docs.withColumnRenamed("doc_id", "rep"), "rep")  # a filter that all rows pass: Spark makes a Bloom filter for the other side's shuffle of filtered tables only
-    packs = _packs(texts.repartition("home", "part").sortWithinPartitions("home", "part"), size)
     with _setting(docs.sparkSession, RUNTIME_FILTER, "1"):
-        found = materialise(_verified(sides.join(packs, ["home", "part"]).repartition("task").sortWithinPartitions("task"), percent), "links")
+        found = materialise(_verified(_packs(texts, sides, size).repartition("task").sortWithinPartitions("task"), percent), "links")
     linked = connected_components(found.where("a <> b").select("a", "b")).join(classes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = linked.join(least, "component").select("node", "component", "component_id")
