@@ -18,8 +18,8 @@ from foliant.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 4, 1_000_000
-BLOCK, GUESTS, WEIGHT = 384, 1536, 2000  # sets of a unit, and of the units that one task compares with it; a set counts once more for each so many shingles
-BUCKET, WINDOW, MIN_BITS = 2_000_000, 1_000_000, 4  # tokens that meet in one task, and that a task gathers before it deals them; 2 to the power of MIN_BITS buckets at least
+BLOCK, SPAN, GUESTS, WEIGHT = 384, 4, 1536, 500  # sets of a unit, units of a host, and sets of the guests that one task compares with it; a set counts once more for each so many shingles
+BUCKET, WINDOW, MIN_BITS = 1_000_000, 1_000_000, 4  # tokens that meet in one task, and that a task gathers before it deals them; 2 to the power of MIN_BITS buckets at least
 RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's constants
 
@@ -86,6 +86,29 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return x.reshape(-1).view("<u8")
 
 
+def squeezed(x: np.ndarray, width: int) -> bytes:
+    """The lower width bytes of each number, compressed byte by byte: zeros in front cost nothing."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=6).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def unsqueezed(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    return unpacked(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1).T.tobytes(), width)
+
+
+def _bounds(home: np.ndarray, times: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Sorted homes as differences, with their numbers; what hi is above lo, as that is mostly 0."""
+    return squeezed(np.concatenate([np.diff(home, prepend=0), times, lo, hi - lo]), 5)
+
+
+def _unbound(data: bytes) -> tuple[np.ndarray, ...]:
+    home, times, lo, hi = np.split(unsqueezed(data, 5).astype(np.int64), 4)
+    return np.cumsum(home), times, lo, hi + lo
+
+
 def components_of_pairs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the pairs."""
     root: dict[int, int] = {}
@@ -237,10 +260,10 @@ def _merged(token, home, lo, hi):
 
 
 def _dealt(docs: DataFrame, size: int, percent: int, hot: Broadcast, bits: int) -> DataFrame:
-    """Rows of a bucket: its tokens by home (5 bytes each), and once for those of a home and of sets of one size its 5 bytes, how many tokens they are, and the bounds of the sizes.
+    """Rows of a bucket: its tokens by home (5 bytes each), and once for those of a home and of sets of one size the home, how many tokens they are, and the bounds of the sizes, compressed.
 
     Tokens are gathered over whole windows of a task, so that copies merge and a row holds many tokens. Two tokens of one set that are the same as dealt would count once: such a set gets the lower bound 0, with which one token in common is enough."""
-    names = ("bucket", "token", "home", "times", "lo", "hi")
+    names = ("bucket", "token", "bounds")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = _WordHash(), [], 0
@@ -257,9 +280,9 @@ def _dealt(docs: DataFrame, size: int, percent: int, hot: Broadcast, bits: int)
             found, at = np.unique(bucket, return_index=True)
             at, at_home = np.r_[at, len(bucket)], np.r_[np.searchsorted(own, at), len(own)]
             spans = list(zip(at, at[1:], at_home, at_home[1:], strict=False))
-            cols = [pa.array(found, pa.int64()), [packed(token[i:j], 5) for i, j, _, _ in spans], [packed(home[own[i:j]], 5) for _, _, i, j in spans]]
-            cols += [[x[i:j].astype("<u4").tobytes() for _, _, i, j in spans] for x in (times, lo, hi)]
-            return pa.RecordBatch.from_arrays([cols[0], *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+            home = home[own]
+            cols = [[packed(token[i:j], 5) for i, j, _, _ in spans], [_bounds(*(x[i:j] for x in (home, times, lo, hi))) for _, _, i, j in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
         for b in batches:
             for text in b.column(1):
@@ -276,7 +299,7 @@ def _dealt(docs: DataFrame, size: int, percent: int, hot: Broadcast, bits: int)
         if held:
             yield rows()
 
-    return docs.mapInArrow(deal, "bucket long, token binary, home binary, times binary, lo binary, hi binary")
+    return docs.mapInArrow(deal, "bucket long, token binary, bounds binary")
 
 
 def _candidate_homes(docs: DataFrame, signed: DataFrame, size: int, percent: int, hot: Broadcast) -> DataFrame:
@@ -291,9 +314,8 @@ def _candidate_homes(docs: DataFrame, signed: DataFrame, size: int, percent: int
         return pd.concat(parts).groupby(["a", "b"], as_index=False, sort=False).agg({"n": "sum", "lo": "min"})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c: np.frombuffer(b"".join(pdf[c]), dtype="<u4").astype(np.int64)
-        times = whole("times")
-        token, home, lo, hi = _merged(unpacked(b"".join(pdf["token"]), 5), *(np.repeat(x, times) for x in (unpacked(b"".join(pdf["home"]), 5).astype(np.int64), whole("lo"), whole("hi"))))
+        home, times, lo, hi = (np.concatenate(x) for x in zip(*map(_unbound, pdf["bounds"]), strict=True))
+        token, home, lo, hi = _merged(unpacked(b"".join(pdf["token"]), 5), *(np.repeat(x, times) for x in (home, lo, hi)))
         found, held, lag = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64)})], 0, 1
         at = np.arange(max(0, len(token) - 1))
         while len(at := at[at + lag < len(token)]) and len(at := at[token[at] == token[at + lag]]):
@@ -311,25 +333,18 @@ def _candidate_homes(docs: DataFrame, signed: DataFrame, size: int, percent: int
 
 
 def packed_sets(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
-    """Sizes, vocabulary and steps of sorted sets: each set is its places in their common vocabulary, as compressed differences. Near copies take some bits a token."""
-    import zstandard
-
+    """Sizes, vocabulary and steps of sorted sets: each set is its places in their common vocabulary, as compressed differences. Near copies take some bits a token. The vocabulary goes as differences too."""
     vocab, places = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets], dtype="<u4")
     steps = np.diff(places, prepend=0)
     starts = np.cumsum(sizes[:-1], dtype=np.int64)
     steps[starts] = places[starts]
-    planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return sizes.tobytes(), vocab.astype("<u8").tobytes(), zstandard.ZstdCompressor(level=6).compress(planes)
+    return sizes.tobytes(), squeezed(np.diff(vocab, prepend=np.uint64(0)), 8), squeezed(steps, 4)
 
 
 def unpacked_sets(sizes: bytes, vocab: bytes, steps: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(steps), dtype=np.uint8)
-    each = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-    words = np.frombuffer(vocab, dtype="<u8")
-    return [words[np.cumsum(x)] for x in np.split(each, np.cumsum(np.frombuffer(sizes, dtype="<u4"), dtype=np.int64)[:-1])]
+    words = np.cumsum(unsqueezed(vocab, 8), dtype=np.uint64)
+    return [words[np.cumsum(x)] for x in np.split(unsqueezed(steps, 4).astype(np.int64), np.cumsum(np.frombuffer(sizes, dtype="<u4"), dtype=np.int64)[:-1])]
 
 
 _PACK = "nodes binary, copies binary, sizes binary, vocab binary, steps binary"
@@ -372,14 +387,14 @@ def _packs(texts: DataFrame, sides: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(tasks: DataFrame, percent: int) -> DataFrame:
-    """tasks: packed units by task: the host (side 0; alone if its own sets are to be compared), then its guests. Gives (a, b, links): edges that span the links of each task, and with a = b and links above 0 how many documents each set links to."""
+    """tasks: packed units by task: those of the host (side 0; alone if its own sets are to be compared), then its guests. Gives (a, b, links): edges that span the links of each task, and with a = b and links above 0 how many documents each set links to."""
 
     def opened(units: list[list]) -> tuple[list[int], list[int], list[np.ndarray]]:
         nodes, copies = (np.frombuffer(b"".join(u[k] for u in units), dtype="<i8").tolist() for k in (0, 1))
         return nodes, copies, [s for _, _, *packed in units for s in unpacked_sets(*packed)]
 
-    def joined(host: list, alone: bool, guests: list[list]) -> pa.RecordBatch:
-        one, copies, left = opened([host])
+    def joined(host: list[list], alone: bool, guests: list[list]) -> pa.RecordBatch:
+        one, copies, left = opened(host)
         linked = [(one[i], copies[i], one[j], copies[j]) for i, j in tree_join(left, None, percent)] if alone and len(left) > 1 else []
         if guests:
             two, others, right = opened(guests)
@@ -391,15 +406,16 @@ def _verified(tasks: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, host, first, guests = None, None, False, []
+        now, host, first, guests = None, [], False, []
         for b in batches:
             for task, side, alone, *unit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if task != now:
                     if host:
                         yield joined(host, first, guests)
-                    now, host, first, guests = task, None, False, []
+                    now, host, first, guests = task, [], False, []
                 if side == 0:
-                    host, first = unit, alone
+                    host.append(unit)
+                    first = alone
                 else:
                     guests.append(unit)
         if host:
@@ -434,16 +450,16 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     homes = materialise(homes.select("home", "w", F.ceil(F.col("w") / BLOCK).cast("int").alias("parts")), "units")
     one, two = (homes.select(F.col("home").alias(h), F.col("w").alias(f"w{h}"), F.col("parts").alias(f"p{h}")) for h in "ab")
     larger = F.struct("wa", "a") > F.struct("wb", "b")
-    way = lambda x, y: F.struct(F.col(x).alias("host"), F.col(f"p{x}").alias("hosts"), F.col(y).alias("home"), F.col(f"w{y}").alias("w"), F.col(f"p{y}").alias("parts"))
+    way = lambda x, y: F.struct(F.col(x).alias("host"), F.ceil(F.col(f"p{x}") / SPAN).cast("int").alias("hosts"), F.col(y).alias("home"), F.col(f"w{y}").alias("w"), F.col(f"p{y}").alias("parts"))
     met = across.join(one, "a").join(two, "b").select(F.when(larger, way("a", "b")).otherwise(way("b", "a")).alias("m")).select("m.*")
-    met = met.unionAll(homes.where("parts > 1").select(F.col("home").alias("host"), F.col("parts").alias("hosts"), "home", "w", "parts"))
+    met = met.unionAll(homes.where(F.col("parts") > SPAN).select(F.col("home").alias("host"), F.ceil(F.col("parts") / SPAN).cast("int"), "home", "w", "parts"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    met = met.withColumn("at", spread("hosts")).withColumn("part", spread("parts")).where("host <> home or at < part").select("host", "at", "home", "part", (F.col("w") / F.col("parts")).alias("w"))
+    met = met.withColumn("at", spread("hosts")).withColumn("part", spread("parts")).where((F.col("host") != F.col("home")) | (F.col("at") < F.floor(F.col("part") / SPAN))).select("host", "at", "home", "part", (F.col("w") / F.col("parts")).alias("w"))
     tasks = met.groupBy("host", "at").agg(F.ceil(F.sum("w") / GUESTS).cast("int").alias("tasks"))
-    units = homes.withColumn("at", spread("parts")).select(F.col("home").alias("host"), "at").join(tasks, ["host", "at"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
+    units = homes.withColumn("part", spread("parts")).select(F.col("home").alias("host"), "part", F.floor(F.col("part") / SPAN).cast("int").alias("at")).join(tasks, ["host", "at"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
     guests = met.join(tasks, ["host", "at"]).withColumn("k", F.pmod(F.xxhash64("home", "part"), F.col("tasks")).cast("int"))
     task = F.md5(F.concat_ws(" ", "host", "at", "k")).alias("task")
-    sides = units.select(task, F.lit(0).alias("side"), (F.col("k") == 0).alias("alone"), F.col("host").alias("home"), F.col("at").alias("part")).unionAll(guests.select(task, F.lit(1), F.lit(False), "home", "part"))
+    sides = units.select(task, F.lit(0).alias("side"), (F.col("k") == 0).alias("alone"), F.col("host").alias("home"), "part").unionAll(guests.select(task, F.lit(1), F.lit(False), "home", "part"))
     wanted = classes.select("rep", "key", "copies", "home").join(homes, "home")
     wanted = materialise(wanted.select("rep", "key", "copies", "home", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")), "wanted")
     texts = wanted.where("copies > 0").join(docs.withColumnRenamed("doc_id", "rep"), "rep")  # a filter that all rows pass: Spark makes a Bloom filter for the other side's shuffle of filtered tables only
@@ -467,7 +483,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     1. Documents of one set make a class. 2. Of two linked sets, the first tokens in one global order share some: these go, packed, to
     buckets by hash, where homes (groups of like sets) that meet often enough become candidates. 3. The sets of a home are a unit, or several of about BLOCK sets, each packed once.
-    Of two candidates the larger home's units are hosts, and those of the other their guests, as are later units of one home. Each host is joined by prefix trees with itself and, in tasks of about GUESTS sets, with its guests.
+    Of two candidates the larger home's units, SPAN at a time, are hosts, and those of the other their guests, as are later units of one home. Each host is joined by prefix trees with itself and, in tasks of about GUESTS sets, with its guests.
     Nothing is capped: a large group of near copies has many units, whose pairs are dealt over all tasks.
 
     Null ids take no part and are not returned. Null and empty texts, or ones without words, have no shingles and link with nothing: each is its own component. Repeated rows are returned each, and are copies of each other;

@@ -52,8 +52,10 @@ def test_join_equals_brute_force(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_join_of_many_units_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("span", [1, 3])
+def test_join_of_many_units_equals_brute_force(spark, monkeypatch, span):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SPAN", span)
     monkeypatch.setattr(ngram_join, "GUESTS", 8)
     rng, rows = np.random.default_rng(5), []
     for i in range(50):
@@ -74,6 +76,11 @@ def test_packed_sets_round_trip():
     assert all((a == b).all() for a, b in zip(sets, ngram_join.unpacked_sets(*ngram_join.packed_sets(sets)), strict=True))
 
 
+def test_bounds_round_trip():
+    home, times, lo, hi = np.array([0, 0, 7, 2**40 - 1]), np.array([1, 300, 2, 9]), np.array([0, 5, 20_000, 1]), np.array([70_000, 5, 20_001, 1])
+    assert all((a == b).all() for a, b in zip((home, times, lo, hi), ngram_join._unbound(ngram_join._bounds(home, times, lo, hi)), strict=True))
+
+
 def test_join_of_nothing(none):
     assert ngram_join.ngram_jaccard_join(none).count() == 0
 
