@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, read_table, scratch_path
@@ -92,39 +92,49 @@ class _Roller:
         return {"shard": self.shard, "file": self.name, "records": self.records, "bytes": self.size, "sha1": self.sha.hexdigest(), "first_id": self.first, "last_id": self.last}
 
 
-def _shards(sizes: DataFrame, shard_bytes: int, buckets: int) -> tuple[int, int, DataFrame, int]:
-    """Ranges of ids of about shard_bytes each, from the bytes in equal ranges of ids (buckets of them at most, which bounds what the driver gets)."""
-    spark = sizes.sparkSession
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).head()
-    low, high = low or 0, high or 0
-    width = (high - low) // buckets + 1
-    found = sizes.groupBy(F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("long").alias("bucket")).agg(F.sum(F.col("n") + 400).alias("b")).orderBy("bucket").collect()
-    rows, shard, held = [], 0, 0
-    for r in found:
-        if held and held + r["b"] > shard_bytes:
-            shard, held = shard + 1, 0
-        held += r["b"]
-        rows.append((r["bucket"], shard))
-    return low, width, spark.createDataFrame(rows, "bucket long, shard long"), shard + 1
+def sort_key(page_id: Column, digest: Column) -> Column:
+    """A string that sorts as (page_id, digest) does, null ids first."""
+    return F.concat(F.coalesce(F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("-")), digest)
 
 
-def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 16 << 20, roll_bytes: int = 8 << 20, buckets: int = 65_536, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def _starts(keys: DataFrame, shard_bytes: int, most: int) -> list[str]:
+    """The first key of each shard: all keys (key, n) in order, cut where their running bytes pass the next multiple of shard_bytes, or of a most-th of all bytes if that is more.
+
+    Keys are sorted in ranges; where Spark's sample puts the bounds of those doesn't matter, as bytes run on from range to range. The driver gets a row per shard."""
+    ranged = materialise(keys.select("key", (F.col("n") + 400).alias("b")).repartitionByRange("key").withColumn("part", F.spark_partition_id()), "warc-ranges")
+    sizes = ranged.groupBy("part").agg(F.sum("b").alias("b"))
+    so_far = lambda w: F.coalesce(F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("part", so_far(Window.orderBy("part")).alias("before"))  # a row per range
+    size = max(shard_bytes, -(-(sizes.agg(F.sum("b")).head()[0] or 0) // most))
+    at = ranged.withColumn("own", so_far(Window.partitionBy("part").orderBy("key"))).join(F.broadcast(before), "part")
+    found = at.groupBy(F.floor((F.col("before") + F.col("own")) / size).alias("shard")).agg(F.min("key").alias("key")).select("key").distinct().orderBy("key")
+    return [r["key"] for r in found.collect()]
+
+
+def _shard_of(key: Column, starts: list[str]) -> Column:
+    """The place of the last of starts that is not above key, by halving; the first start is not above any."""
+    every, steps = F.split(F.lit(",".join(starts)), ","), [1 << b for b in reversed(range(len(starts).bit_length()))]
+    further = lambda at, step: F.when((at + step < len(starts)) & (F.get(every, at + step) <= key), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further) if len(starts) > 1 else F.lit(0)
+
+
+def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 16 << 20, roll_bytes: int = 8 << 20, most_shards: int = 65_536, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row of pages to gzipped WARC files under the URI out; returns the manifest, a row per file.
 
-    Rows go to shards by ranges of id and lie there in order of id (null ids first; rows of one id by digest). A file ends once roll_bytes of compressed records are in it.
+    Records are sorted by id, then digest (null ids first), and cut into shards of about shard_bytes of payload (more, if there would be over most_shards); each is one task's. A file ends once roll_bytes of compressed records are in it.
     Of rows with equal payloads of revisit_bytes at least, those with the largest id are responses and the others revisit it; if no id is known, all are responses. Null payloads are empty.
     Files are written under temporary names and moved when whole; out/_manifest names those that count, and is committed last. The same rows give the same bytes. An empty table gives an empty manifest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     keys = materialise(rows.select("page_id", "digest", F.length("payload").cast("long").alias("n")), "warc-keys")
-    low, width, ranges, shards = _shards(keys, shard_bytes, buckets)
+    starts = _starts(keys.withColumn("key", sort_key(F.col("page_id"), F.col("digest"))), shard_bytes, most_shards)
     kept = keys.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).where("c > 1 and keep is not null")
     repeats = keys.where(F.col("n") >= revisit_bytes).join(kept.select("digest", "keep"), "digest").where("page_id is null or page_id < keep").select("page_id", "digest", "keep").distinct()
     # a mark for each revisit comes just before its page
     marks = repeats.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "keep")
-    both = rows.withColumn("keep", F.lit(None).cast("long")).unionByName(marks).withColumn("bucket", F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("long"))
-    both = both.join(F.broadcast(ranges), "bucket").drop("bucket").repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
+    both = rows.withColumn("keep", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", _shard_of(sort_key(F.col("page_id"), F.col("digest")), starts))
+    both = both.repartitionById(max(1, len(starts)), F.col("shard")).withColumn("shard", F.col("shard").cast("long")).sortWithinPartitions("page_id", "digest", F.col("payload").isNotNull(), "url")
     names = ("shard", "page_id", "url", "payload", "digest", "keep")
     fields = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 

@@ -300,3 +300,17 @@ def test_warc_round_trip(spark, tmp_path):
     again = warc.write_warc(pages, f"file://{tmp_path}/v", roll_bytes=200).collect()
     assert sorted((r.file, r.sha1) for r in manifest) == sorted((r.file, r.sha1) for r in again)
     assert warc.write_warc(pages.where("false"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_shards_of_far_ids_and_null_ids(spark, tmp_path):
+    rows = [(i if i % 3 else None, "u", f"{i} " * 50) for i in range(90)] + [(-5, "u", "x"), (2**62, "u", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = f"file://{tmp_path}/w"
+    manifest = sorted(warc.write_warc(pages, out, shard_bytes=4000, roll_bytes=1 << 20).collect(), key=lambda r: r.shard)
+    assert [r.shard for r in manifest] == list(range(len(manifest))) and len(manifest) > 10
+    assert max(r.records for r in manifest) <= 10 and sum(r.records for r in manifest) == 92
+    ends = [(r.first_id, r.last_id) for r in manifest if r.first_id is not None]
+    assert all(a <= b for a, b in ends) and all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert sorted((r.page_id is None, r.page_id) for r in warc.read_warc(spark, out).select("page_id").collect()) == sorted((i is None, i) for i, *_ in rows)
+    again = warc.write_warc(pages.repartition(7), f"file://{tmp_path}/v", shard_bytes=4000, roll_bytes=1 << 20).collect()
+    assert {(r.file, r.sha1) for r in manifest} == {(r.file, r.sha1) for r in again}
