@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, quoted, read_table, words_of
+from foliant.llm.common import materialise, quoted, read_table, setting, words_of
 from foliant.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -424,16 +423,6 @@ def _verified(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.select("task", "side", "alone", *(c.split()[0] for c in _PACK.split(", "))).mapInArrow(run, "a long, b long, links long")
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).where("doc_id is not null")
 
@@ -463,7 +452,7 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     wanted = classes.select("rep", "key", "copies", "home").join(homes, "home")
     wanted = materialise(wanted.select("rep", "key", "copies", "home", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")), "wanted")
     texts = wanted.where("copies > 0").join(docs.withColumnRenamed("doc_id", "rep"), "rep")  # a filter that all rows pass: Spark makes a Bloom filter for the other side's shuffle of filtered tables only
-    with _setting(docs.sparkSession, RUNTIME_FILTER, "1"):
+    with setting(docs.sparkSession, RUNTIME_FILTER, "1"):
         found = materialise(_verified(_packs(texts, sides, size).repartition("task").sortWithinPartitions("task"), percent), "links")
     linked = connected_components(found.where("a <> b").select("a", "b")).join(classes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))

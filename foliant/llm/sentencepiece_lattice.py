@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from foliant.llm.common import Bank, Numbers, bucketed, quoted, read_table
+from foliant.llm.common import Bank, Numbers, bucketed, quoted, read_table, setting
 
 SPACE = "▁"
 #: Words of so many letters at most are folded in one number; cells of 48 places in a row of a longer word's state.
 SHORT, CELLS = 60, 48
+#: A task's cache of words holds so many, and an Arrow batch so many texts: what a worker needs beside its group's units.
+WORDS, ROWS = 200_000, 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: So many places of a long word go on together.
 STEP = 32
 
@@ -242,6 +245,8 @@ class _Group:
         self.held: list[tuple[list, list[np.ndarray]]] = []
 
     def add(self, docs: list, texts: list[str]) -> None:
+        if len(self.words) > WORDS:
+            self.words, self.bank = Numbers(), Bank()
         each = [np.fromiter(map(self.words.__getitem__, words_of(t)), np.int64) for t in texts]
         units, counts = self.cutter.cut(self.words.fresh)
         self.bank.add(np.fromiter(map(self.numbers.__getitem__, units), "<u4", len(units)), counts)
@@ -266,7 +271,7 @@ class _Group:
         self.held = []
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 24 << 20, run_chars: int = 2 << 20, cached: int = 700_000, bucket_chars: int = 4 << 20, with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 24 << 20, run_chars: int = 2 << 20, cached: int = 400_000, bucket_chars: int = 4 << 20, with_ids: bool = True) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of unsigned little-endian 32-bit ids) and text_crc32 (of the text decoded from the ids, as UTF-8) of every row, and its ids if wanted.
 
     1. Texts of a task are put into groups of about group_chars and become numbers of their group's units; they lie in a bucketed table, and are not shuffled. 2. A group's units go, compressed, to buckets by hash, one for about bucket_chars of text.
@@ -283,8 +288,8 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
         cutter = Cutter(pieces)
         g, size, group = TaskContext.get().partitionId() << 24, 0, _Group(cutter, buckets)
         ready = lambda rows: (pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), fields, strict=True)], schema=fields) for part in batched(rows, 64))
+        run, held = ([], []), 0
         for b in batches:
-            run, held = ([], []), 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 run[0].append(doc)
@@ -295,10 +300,9 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
                     run, size, held = ([], []), size + held, 0
                     if size >= group_chars:
                         yield from ready(group.close(g))
-                        g, size, group = g + 1, 0, group if len(group.words) < cached else _Group(cutter, buckets)
-            if run[0]:
-                group.add(*run)
-                size += held
+                        g, size, group = g + 1, 0, group if len(group.numbers) < cached else _Group(cutter, buckets)
+        if run[0]:
+            group.add(*run)
         if group.held:
             yield from ready(group.close(g))
 
@@ -341,7 +345,8 @@ def encode_texts(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", tex
         return pa.table(columns)
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = bucketed(rows.mapInArrow(number, "g long, docs array<string>, lengths array<int>, codes binary, bucket int, numbers binary, sizes binary, units binary"), "numbered", "g", width)
+    with setting(spark, BATCH, str(ROWS)):
+        numbered = bucketed(rows.mapInArrow(number, "g long, docs array<string>, lengths array<int>, codes binary, bucket int, numbers binary, sizes binary, units binary"), "numbered", "g", width)
     asked = numbered.where("bucket IS NOT NULL").select("bucket", "g", "numbers", "sizes", "units").repartition(width, "bucket")
     words = asked.groupBy("bucket").applyInArrow(distinct, "word string")
     known = lattice(words, pieces, width).withColumn("home", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))
