@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import finite_vector, main_dimension, read_table
 
+TILE = 1 << 22  # components of a tile's side: 32 MB as doubles
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -38,28 +39,33 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -scores[place]))]
 
 
-def merge_tops(tops: DataFrame, k: int, fan_in: int) -> DataFrame:
-    """Per-query top lists of tiles, merged fan_in at a time on each level of a tree; ranks from 1."""
+def merge_tops(tops: DataFrame, k: int, fan_in: int, tiles: int) -> DataFrame:
+    """Per-query top lists of so many tiles, merged fan_in at a time on each level of a tree, as many levels as that takes; ranks from 1."""
     order = (F.desc("score"), F.asc("vec_id"))
-    merged = tops.withColumn("node", F.floor(F.col("tile") / fan_in))
-    by_node = merged.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "node").orderBy(*order))).where(F.col("r") <= k).drop("r")
-    ranked = by_node.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    while tiles > fan_in:
+        tops = tops.withColumn("tile", F.floor(F.col("tile") / fan_in))
+        tops = tops.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "tile").orderBy(*order))).where(F.col("r") <= k).drop("r")
+        tiles = math.ceil(tiles / fan_in)
+    ranked = tops.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard_rows: int = 8192, block_rows: int = 1024, fan_in: int = 32) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard_rows: int | None = None, block_rows: int | None = None, fan_in: int = 32) -> DataFrame:
     """The k rows of vectors with the highest integer inner product floor(scale * x) with each row of queries, its own id left out.
 
     Null vectors, and ones with null or non-finite components, take no part, nor do null ids or vectors of another length than the commonest.
     Ties go to the smaller id; a repeated row is a candidate each time. Without queries or candidates there are no rows. Other columns are ignored.
-    Both sides are dealt by hash of id into shards and blocks of bounded size; each pair of them is a tile, and a tile sends k rows a query at most.
+    Both sides are dealt by hash of id into shards of about shard_rows and blocks of about block_rows (if not given: as many as have TILE components; fewer while there are fewer shards than tasks at a time); each pair of them is a tile, and a tile sends k rows a query at most.
+    A row is copied once a block and a query once a shard, so larger tiles shuffle less.
     """
     own = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & finite_vector(F.col("v")))
     rows, asked = own(vectors), own(queries)
     dim = main_dimension(rows, "v")
     rows, asked = (x.where(F.size("v") == dim) for x in (rows, asked))
     n_rows, n_asked = rows.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n_rows / shard_rows)), max(1, math.ceil(n_asked / block_rows))
+    most, wide = max(1, TILE // max(1, dim)), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(n_rows / shard_rows) if shard_rows else max(math.ceil(n_rows / most), min(wide, math.ceil(n_rows / 4096))))
+    blocks = max(1, math.ceil(n_asked / (block_rows or most)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = asked.withColumn("block", deal(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = rows.withColumn("shard", deal(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -69,17 +75,17 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id
             return pd.DataFrame({"query_id": [], "tile": [], "vec_id": [], "score": []})
         floor = lambda s: np.floor(np.stack(s.to_numpy()).astype(np.float64) * scale)
         a, b, ids = floor(q["v"]), floor(r["v"]), r["id"].to_numpy()
-        out = []
+        asked, found, scored = q["id"].to_numpy(), [], []
         for at in range(0, len(a), 64):
-            scores = inner_products(a[at : at + 64], b)
-            for i, row in zip(q["id"].to_numpy()[at : at + 64], scores, strict=True):
+            for i, row in zip(asked[at : at + 64], inner_products(a[at : at + 64], b), strict=True):
                 other = np.flatnonzero(ids != i)
                 top = other[best_of(row[other], ids[other], k)]
-                out.append(pd.DataFrame({"query_id": i, "tile": key[0], "vec_id": ids[top], "score": row[top]}))
-        return pd.concat(out)
+                found.append(ids[top])
+                scored.append(row[top])
+        return pd.DataFrame({"query_id": np.repeat(asked, [len(x) for x in found]), "tile": key[0], "vec_id": np.concatenate(found), "score": np.concatenate(scored)})
 
     tops = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(tile, "query_id long, tile int, vec_id long, score long")
-    return merge_tops(tops, k, fan_in)
+    return merge_tops(tops, k, fan_in, shards)
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,9 +210,10 @@ def vectors(spark, n=300):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>"), x
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("fan_in", [2, 32])
+def test_exact_top_k(spark, fan_in):
     df, x = vectors(spark)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(df, df.where("vec_id % 100 = 0"), shard_rows=50, block_rows=2).collect()}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(df, df.where("vec_id % 100 = 0"), shard_rows=50, block_rows=2, fan_in=fan_in).collect()}
     ids = np.array([*range(300), 1001, 1100])
     z = np.floor(1024 * np.vstack([x, np.zeros(8), x[5]])).astype(int)
     for q in (0, 100, 200, 1100):
