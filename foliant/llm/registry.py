@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "ngram_join", "quality", "packing", "secrets", "licenses", "sentencepiece_lattice", "ann", "hmm", "warc", "byte_bpe", "merkle")
+MODULES = ("topk", "ngram_join", "quality", "packing", "secrets", "licenses", "sentencepiece_lattice", "ann", "hmm", "warc", "byte_bpe", "merkle", "resample")
 
 
 def _all(attribute: str) -> dict:
