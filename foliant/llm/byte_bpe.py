@@ -302,7 +302,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 cols += [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.array(first, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids",))])
 
-    rows = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
         return rows.mapInArrow(run, f"{quoted(id_col)} {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
 
@@ -320,7 +320,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return encoded.select(F.col(quoted(id_col)), F.col(quoted(ids_col)).cast("array<int>")).mapInArrow(run, f"{quoted(id_col)} {kind}, text string")
+    return encoded.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(ids_col)).cast("array<int>").alias("ids")).mapInArrow(run, f"{quoted(id_col)} {kind}, text string")
 
 
 def encode_edited(docs: DataFrame, path: str | None = None, pattern: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", start_col: str = "start", end_col: str = "end", new_col: str = "new") -> DataFrame:
@@ -347,7 +347,7 @@ def encode_edited(docs: DataFrame, path: str | None = None, pattern: str | None
                 work.append(held.encoded_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (before, after)), pa.array(work, pa.int64())], names=[id_col, "ids_before", "ids_after", "encoded_bytes"])
 
-    rows = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"), F.col(quoted(start_col)).cast("long"), F.col(quoted(end_col)).cast("long"), F.col(quoted(new_col)).cast("string"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(start_col)).cast("long").alias("start"), F.col(quoted(end_col)).cast("long").alias("end"), F.col(quoted(new_col)).cast("string").alias("new"))
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
         return rows.mapInArrow(run, f"{quoted(id_col)} {kind}, ids_before array<int>, ids_after array<int>, encoded_bytes long")
 

@@ -93,7 +93,7 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", *, longest: int = 1,
         held = np.flatnonzero(trie.totals)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(trie.totals[held], pa.int64())], names=["bucket", "n"])
 
-    rows = texts.select(F.col(quoted(text_col)).cast("string"))
+    rows = texts.select(F.col(quoted(text_col)).cast("string").alias("text"))
     with setting(texts.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
         return rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -122,7 +122,7 @@ def scored(docs: DataFrame, gains: list[int], *, id_col: str = "doc_id", text_co
                 trie = Trie(longest, len(gains), gains)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=[id_col, "n_words", "n_features", "weight"])
 
-    rows = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
         found = rows.mapInArrow(run, f"{quoted(id_col)} {kind}, n_words long, n_features long, weight long")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(quoted(id_col)).cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("double")
