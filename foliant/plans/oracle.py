@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliant.functions import shelves as H
-from foliant.operators.language import COMMON
+from foliant.operators.language import MOST_GRAMS
 from foliant.operators.text_search import encode_query, word_hash_encoder
 from foliant.plans.queries import LIKED, THEME, VIEWS
 
@@ -33,9 +33,19 @@ z AS (SELECT * FROM y WHERE shelf NOT IN {_DROP})"""
 _TITLE = "array_to_string(list_transform(list_filter(string_split(shelf, '-'), lambda p: p <> ''), lambda p: array_to_string(list_transform(string_split(p, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')), ' ')"
 
 
-def _count_words(k: str) -> str:
-    words = "[" + ", ".join(f"'{w}'" for w in COMMON[k].split()) + "]"
-    return f"len(list_filter(w, lambda x: list_contains({words}, x))) AS {k}"
+def _grams(of: str, source: str, where: str = "true") -> str:
+    """The trigrams of a text column's letters: all with the row's own columns."""
+    return f"""(SELECT * EXCLUDE (c), unnest(list_transform(range(1, len(c) - 1), lambda i: concat(c[i], c[i + 1], c[i + 2]))) AS g FROM (SELECT *, string_split(concat(' ', trim(regexp_replace(lower({of}), '[^\\p{{L}}]+', ' ', 'g')), ' '), '') AS c FROM {source} WHERE {where}))"""
+
+
+#: Languages told by weights of trigrams, as a model trained on the documents that are not held out tells them.
+_MODEL = f"""tn AS (SELECT lang, g, count(*) AS n FROM {_grams('text', 'documents', 'doc_id % 4 <> 2 AND lang IS NOT NULL')} GROUP BY ALL), tk AS (SELECT g FROM tn GROUP BY g ORDER BY sum(n) DESC, g LIMIT {MOST_GRAMS}),
+tl AS (SELECT lang, sum(n) + (SELECT count(*) FROM tk) AS total FROM tn SEMI JOIN tk USING (g) GROUP BY lang),
+tw AS (SELECT lang, g, CAST(round(1e6 * ln((coalesce(n, 0) + 1) / total)) AS BIGINT) AS weight FROM tk CROSS JOIN tl LEFT JOIN tn USING (lang, g))"""
+
+
+def _told(id_: str, of: str, source: str) -> str:
+    return f"told AS (SELECT {id_}, lang AS detected FROM (SELECT {id_}, lang, sum(weight * k) AS s FROM (SELECT {id_}, g, count(*) AS k FROM {_grams(of, source)} GROUP BY ALL) JOIN tw USING (g) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {id_} ORDER BY s DESC, lang) = 1)"
 
 
 W = lambda body: f"{VIEWS} {body}"
@@ -59,8 +69,9 @@ SELECT vec_id, CAST(cluster_id AS INTEGER) AS cluster_id, round(list_dot_product
     "books_filter_project": W("SELECT book_id, trim(title) AS title, num_pages, average_rating, ratings_count, popular_shelves FROM books WHERE ratings_count >= 1000 AND trim(title) <> ''"),
     "interactions_active_users": W("SELECT user_id, count(*) AS n FROM interactions WHERE rating > 0 AND book_id IN (SELECT book_id FROM books WHERE ratings_count >= 1000) GROUP BY user_id HAVING count(*) >= 20"),
     "dense_index": W("SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_idx FROM (SELECT DISTINCT user_id FROM interactions)"),
-    "reviews_english_hybrid": W(f"""SELECT review_id, book_id, rating FROM (SELECT *, {', '.join(map(_count_words, COMMON))} FROM (SELECT *, string_split_regex(lower(trim(review_text)), '[^\\p{{L}}]+') AS w FROM reviews))
-WHERE NOT (rating = 0 AND trim(review_text) = '') AND CASE WHEN trim(language_code) <> '' THEN starts_with(lower(language_code), 'en') WHEN length(trim(review_text)) < 20 THEN false ELSE en > 0 AND en > de AND en >= es AND en >= fr END"""),
+    "reviews_english_hybrid": W(f""", {_MODEL}, {_told('review_id', 'review_text', 'reviews')} SELECT review_id, book_id, rating FROM reviews LEFT JOIN told USING (review_id)
+WHERE NOT (rating = 0 AND trim(review_text) = '') AND CASE WHEN trim(language_code) <> '' THEN starts_with(lower(language_code), 'en') WHEN length(trim(review_text)) < 20 THEN false ELSE coalesce(detected = 'en', false) END"""),
+    "language_detected": f"WITH {_MODEL}, {_told('doc_id', 'text', 'documents')} SELECT doc_id, doc_id % 4 = 2 AS held_out, CASE WHEN text IS NOT NULL THEN coalesce(detected, 'und') END AS detected FROM documents LEFT JOIN told USING (doc_id)",
     "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1",
     "dedupe_content": W("SELECT review_id, book_id FROM reviews QUALIFY row_number() OVER (PARTITION BY book_id, user_id, review_text ORDER BY CAST(review_id AS BIGINT)) = 1"),
     "dedupe_last": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -136,9 +147,9 @@ SELECT cluster_id, count(*) AS cluster_size, (SELECT string_agg(concat(name, ':'
     "run_outcomes_union": f"WITH {_RUN} SELECT CASE WHEN NOT ok THEN 'Refused' END AS error_type, count(*) AS n, CAST(sum(CASE WHEN ok THEN output_tokens END) AS BIGINT) AS tokens FROM log GROUP BY ok",
     "review_count_stats": W(", n AS (SELECT b.book_id, count(r.book_id) AS n FROM books b LEFT JOIN (SELECT * FROM reviews WHERE rating > 0) r USING (book_id) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, min(n) AS least, max(n) AS most FROM n"),
     "text_length_stats": "SELECT quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS median_chars, CAST(max(length(text)) AS INTEGER) AS most_chars FROM documents",
-    "strict_english": f"""WITH c AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM documents),
-e AS (SELECT doc_id, length(trim(text)) >= 20 AND letters >= 15 AND latin >= letters * 0.85::DOUBLE AND len(list_filter(t, lambda x: regexp_matches(x, '\\p{{L}}'))) >= 5 AS ok, {', '.join(map(_count_words, COMMON))} FROM c)
-SELECT doc_id, coalesce(ok AND en > 0 AND en > de AND en >= es AND en >= fr, false) AS english FROM e""",
+    "strict_english": f"""WITH c AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),
+e AS (SELECT doc_id, length(trim(text)) >= 20 AND letters >= 15 AND latin >= letters * 0.85::DOUBLE AND len(list_filter(t, lambda x: regexp_matches(x, '\\p{{L}}'))) >= 5 AS ok FROM c), {_MODEL}, {_told('doc_id', 'text', 'documents')}
+SELECT doc_id, coalesce(ok AND detected = 'en', false) AS english FROM e LEFT JOIN told USING (doc_id)""",
     "sampled_tables": W(f", {CATALOG} SELECT 'books' AS name, count(*) AS n FROM books SEMI JOIN c USING (book_id) UNION ALL SELECT 'interactions', count(*) FROM interactions SEMI JOIN c USING (book_id) UNION ALL SELECT 'reviews', count(*) FROM reviews SEMI JOIN c USING (book_id)"),
     "prototype_subset": W(""", t AS (SELECT * FROM books ORDER BY ratings_count DESC, book_id LIMIT 200), i AS (SELECT * FROM interactions SEMI JOIN t USING (book_id))
 SELECT 'books' AS name, count(*) AS n FROM t UNION ALL SELECT 'interactions', count(*) FROM i WHERE user_id IN (SELECT user_id FROM i GROUP BY 1 HAVING count(*) >= 5) UNION ALL SELECT 'reviews', count(*) FROM reviews SEMI JOIN t USING (book_id)"""),

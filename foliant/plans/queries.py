@@ -9,8 +9,8 @@ from foliant.functions import scalars as S
 from foliant.functions import shelves as H
 from foliant.functions import vectors as V
 from foliant.operators import checks, clustering, labels, search, serve, summaries, tables, text_search
-from foliant.operators.language import strict_english
-from foliant.sources.raw import line_id, lines_of
+from foliant.operators.language import strict_english, train_languages
+from foliant.sources.raw import is_english, line_id, lines_of
 
 BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, p_name AS title, concat(p_type, ' ', p_brand) AS description, p_brand AS publisher,
   p_size * 40 AS num_pages, ROUND(1 + CAST(p_partkey * 37 % 401 AS DOUBLE) / 100, 2) AS average_rating,
@@ -112,13 +112,19 @@ def _index(spark, d):
     return tables.dense_index(interactions(spark, d), "user_id", "user_idx")
 
 
-def _english(spark, d):
-    from foliant.operators.language import detect_language
+def _languages(spark, d):
+    """Trained on three quarters of the documents."""
+    return train_languages(table(spark, d, "documents").where("doc_id % 4 <> 2"))
+
 
+def _english(spark, d):
     r = reviews(spark, d)
-    code, text = F.lower(S.text_or_empty(F.col("language_code"))), S.text_or_empty(F.col("review_text"))
-    english = F.when(code != "", F.startswith(code, F.lit("en"))).when(F.length(text) < 20, F.lit(False)).otherwise(detect_language(text) == "en")
-    return r.where(~((F.col("rating") == 0) & (text == "")) & english).select("review_id", "book_id", "rating")
+    blank = (F.col("rating") == 0) & (S.text_or_empty(F.col("review_text")) == "")
+    return r.where(~blank & is_english(F.col("language_code"), F.col("review_text"), _languages(spark, d).detect)).select("review_id", "book_id", "rating")
+
+
+def _detected(spark, d):
+    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4 == 2).alias("held_out"), _languages(spark, d).detect(F.col("text")).alias("detected"))
 
 
 def _first(spark, d):
@@ -381,7 +387,7 @@ def _length_stats(spark, d):
 
 
 def _strict(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(strict_english(F.col("text")), F.lit(False)).alias("english"))
+    return table(spark, d, "documents").select("doc_id", strict_english(F.col("text"), _languages(spark, d).detect).alias("english"))
 
 
 def _counted(named):
@@ -424,7 +430,7 @@ def _checked(spark, d):
 QUERIES = {
     "similar_items_topk": _similar, "vector_l2_normalize": _normalized, "layernorm_truncate_l2": _layernorm, "recency_weights": _weights, "recommend_topn": _recommend, "coldstart_top_rated": _cold,
     "cluster_assign_step": _assign, "cluster_rank_representatives": _ranked, "spherical_kmeans": _kmeans, "books_filter_project": _book_rows, "interactions_active_users": _active, "dense_index": _index,
-    "reviews_english_hybrid": _english, "dedupe_first": _first, "dedupe_content": _content, "dedupe_last": _last, "validate_summary": _validate, "rating_histogram": _histogram, "catalog_sample": _catalog,
+    "reviews_english_hybrid": _english, "language_detected": _detected, "dedupe_first": _first, "dedupe_content": _content, "dedupe_last": _last, "validate_summary": _validate, "rating_histogram": _histogram, "catalog_sample": _catalog,
     "catalog_stats": _catalog_stats, "proto_top_items": _proto, "review_quality_gate": _gate, "clean_drop_reasons": _reasons, "stratified_waterfall_sample": _sample, "rating_stats": _stats,
     "rating_distribution_text": _distribution, "reviews_text_block": _block, "llm_input_join": _llm_input, "top_reviews_concat": _top_reviews, "search_text": _search_text, "shelf_clean_counts": _shelf_counts,
     "cluster_label_scores": _label_scores, "cluster_labels": _labels, "pending_anti_join": _pending, "jsonl_tolerant_parse": _jsonl, "tags_normalize": _tags, "ui_cache_join": _ui, "result_enrichment": _enriched,

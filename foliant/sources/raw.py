@@ -55,17 +55,22 @@ def skipped_books(raw: DataFrame, least_ratings: int = 1000) -> DataFrame:
     return raw.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def is_english(code: Column, text: Column, detect) -> Column:
+    """A language code decides if there is one; else texts of 20 or more characters go to detect, a function of a column that gives a code."""
+    code, text = F.lower(text_or_empty(code)), text_or_empty(text)
+    return F.when(code != "", F.startswith(code, F.lit("en"))).when(F.length(text) < 20, F.lit(False)).otherwise(F.coalesce(detect(text) == "en", F.lit(False)))
+
+
 def reviews_table(raw: DataFrame, books: DataFrame, detect=None) -> DataFrame:
-    """English reviews of known books, but those without rating and text. A language code decides if there is one; else texts of 20 or more characters go to detect (a function of a column that gives a code)."""
-    from foliant.operators.language import detect_language
+    """English reviews of known books, but those without rating and text. Without detect, a model is trained on the raw reviews that have a language code."""
+    from foliant.operators.language import trained_on_codes
     from foliant.operators.tables import dedupe
 
+    detect = detect or trained_on_codes(raw.where(~F.col("_bad"))).detect
     known = raw.where(~F.col("_bad")).join(books.select("book_id"), "book_id", "left_semi")
     text, rating = text_or_empty(F.col("review_text")), safe_int(F.col("rating"))
     known = known.where(~((rating == 0) & (text == "")))
-    code = F.lower(text_or_empty(F.col("language_code")))
-    english = F.when(code != "", F.startswith(code, F.lit("en"))).when(F.length(text) < 20, F.lit(False)).otherwise((detect or detect_language)(text) == "en")
-    rows = known.where(english).select("review_id", "user_id", "book_id", rating.alias("rating"), text.alias("review_text"), safe_int(F.col("n_votes")).alias("n_votes"), safe_int(F.col("n_comments")).alias("n_comments"), "date_added")
+    rows = known.where(is_english(F.col("language_code"), F.col("review_text"), detect)).select("review_id", "user_id", "book_id", rating.alias("rating"), text.alias("review_text"), safe_int(F.col("n_votes")).alias("n_votes"), safe_int(F.col("n_comments")).alias("n_comments"), "date_added")
     return dedupe(rows, ["review_id"], [F.col("book_id"), F.col("user_id"), F.col("review_text")])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import clustering, labels, search, serve, summaries, tables, text_search
-from foliant.operators.language import strict_english
+from foliant.operators.language import strict_english, train_languages
 from foliant.plans.job import preprocess
 from foliant.sources import matrices
 from foliant.sources.raw import id_list, line_id, lines_of, read_json_lines, skipped_books, raw_books
@@ -171,8 +171,9 @@ def test_log_jobs(spark, tmp_path):
 
 
 def test_text_and_line_filters(spark):
+    model = train_languages(spark.createDataFrame([("the sea and the whales of the sea are many and wide", "en"), ("der Hund und die Katze sind nicht auf dem Dach der Maus", "de")], "text string, lang string"))
     df = spark.createDataFrame([("The sea is wide and the whales of it are many",), ("short",), (None,), ("Der Hund und die Katze sind nicht auf dem Dach mit der Maus",)], "t string")
-    assert [r[0] for r in df.select(strict_english(F.col("t"))).collect()] == [True, False, False, False]
+    assert [r[0] for r in df.select(strict_english(F.col("t"), model.detect)).collect()] == [True, False, False, False]
     lines = spark.createDataFrame([('{"book_id": "12", "x": "\\"book_id\\": 7"}',), ("junk",), ('{"book_id":7}',)], "value string")
     assert [r[0] for r in lines.select(line_id(F.col("value"))).collect()] == ["12", "", "7"]
     assert lines_of(lines, spark.createDataFrame([(7,)], "book_id long")).count() == 1
@@ -184,14 +185,14 @@ def test_preprocess(spark, tmp_path):
             f.write("\n".join(map(json.dumps, rows)) + "\nnot json\n")
 
     write("books.json.gz", [{"book_id": str(i), "work_id": "w", "title": f" T{i} ", "ratings_count": str(1000 + i if i < 4 else 5), "popular_shelves": [{"name": "a"}, {"name": "b"}]} for i in range(6)])
-    write("reviews.json.gz", [{"review_id": f"r{i}", "user_id": "u", "book_id": str(i), "rating": 4, "review_text": "The whales of the sea are wide and the sea is deep"} for i in range(6)])
+    write("reviews.json.gz", [{"review_id": f"r{i}", "user_id": "u", "book_id": str(i), "rating": 4, "review_text": "The whales of the sea are wide and the sea is deep"} for i in range(6)] + [{"review_id": f"c{k}", "user_id": "u", "book_id": "0", "rating": 3, "language_code": k, "review_text": t} for k, t in (("en-US", "the deep sea and the whales"), ("ger", "der Hund und die Katze auf dem Dach"))])
     (tmp_path / "i.csv").write_text("user_id,book_id,is_read,rating,is_reviewed\n" + "".join(f"{u},{b},1,{3 if b else 0},0\n" for u in (1, 2) for b in range(2 + 2 * (u == 1))))
     raw = {"books": f"{tmp_path}/books.json.gz", "reviews": f"{tmp_path}/reviews.json.gz", "interactions": f"{tmp_path}/i.csv"}
     assert {r.reason: r.n for r in skipped_books(raw_books(spark, raw["books"])).collect()} == {"kept": 4, "ratings": 2, "malformed": 1}
     assert read_json_lines(spark, raw["books"], "book_id string", deal=3).rdd.getNumPartitions() == 3
     done = preprocess(spark, raw, f"{tmp_path}/out", least_user=2)
     assert sorted(r.title for r in done["books"].collect()) == ["T0", "T1", "T2", "T3"] and done["books"].count() == 4
-    assert {(r.user_id, r.book_id) for r in done["interactions"].collect()} == {("1", "1"), ("1", "2"), ("1", "3")} and done["reviews"].count() == 4
+    assert {(r.user_id, r.book_id) for r in done["interactions"].collect()} == {("1", "1"), ("1", "2"), ("1", "3")} and sorted(r.review_id for r in done["reviews"].collect()) == ["c" + "en-US", "r0", "r1", "r2", "r3"]
     small = preprocess(spark, raw, f"{tmp_path}/out", proto=1, least_user=1)
     assert [r.book_id for r in small["books"].collect()] == ["3"] and small["reviews"].count() == 1 and spark.read.parquet(f"{tmp_path}/out/books").count() == 4
     assert preprocess(spark, raw, f"{tmp_path}/out", stage="reviews")["books"].count() == 4
