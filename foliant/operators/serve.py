@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.tables import dedupe
+from foliant.operators.text_search import thematic_search
 from foliant.sources.scratch import path_exists
 
 
@@ -16,10 +17,26 @@ def enrich(results: DataFrame, details: DataFrame, key: str = "book_id", suffix:
     return results.join(one, key, "left")
 
 
+def page_number(total: int, number: int, size: int = 10) -> tuple[int, int]:
+    """The page that is shown and how many there are, one at least: below the first it is the first, beyond the last the last."""
+    pages = max(1, -(-total // size))
+    return min(max(1, number), pages), pages
+
+
 def page(ranked: DataFrame, number: int, size: int = 10, rank: str = "rank") -> DataFrame:
-    """Rows of a page from 1; numbers below that are the first."""
-    first = (max(1, number) - 1) * size
-    return ranked.where(F.col(rank).between(first + 1, first + size))
+    """Rows of a page, their numbers held to the pages that there are."""
+    shown, _ = page_number(ranked.agg(F.max(rank)).head()[0] or 0, number, size)
+    return ranked.where(F.col(rank).between((shown - 1) * size + 1, shown * size))
+
+
+def search_page(vectors: DataFrame, books: DataFrame, details: DataFrame, encoder, text: str, number: int = 1, *, width: int = 256, size: int = 10, depth: int = 100, key: str = "book_id") -> tuple[DataFrame, int, int, int]:
+    """A page of the depth books nearest to a text, with rank and their details; and the page's number, how many pages there are, and how many books were found. A blank text finds none."""
+    found = thematic_search(vectors, books, text, encoder, depth, width=width, key=key)
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # depth rows
+    total = ranked.count()
+    shown, pages = page_number(total, number, size)
+    rows = ranked.where(F.col("rank").between((shown - 1) * size + 1, shown * size))
+    return enrich(rows, details, key).orderBy("rank"), shown, pages, total
 
 
 def cold_start(books: DataFrame, n: int = 5) -> DataFrame:
@@ -42,12 +59,13 @@ def favorites_page(books: DataFrame, liked: list[str], key: str = "book_id") ->
     return books.withColumn(key, F.col(key).cast("string")).join(F.broadcast(order), key).orderBy("_fav_order")
 
 
-def recommendations(books: DataFrame, liked: list, personal, n: int = 5) -> tuple[str, DataFrame]:
-    """Mode and rows: the top rated without favourites, else what personal(liked, n) gives."""
-    if not liked:
-        ranked = cold_start(books, n)
-        return "top_rated", ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("average_rating"), F.desc("ratings_count"), "book_id")))
-    return "personalized", personal(liked, n)
+def recommendations(books: DataFrame, liked: list, personal, n: int = 5, details: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """Mode and rows: the top rated without favourites, else what personal(liked, n) gives (book_id and similarity among its columns). With details, rows come with them, and with the similarity as their score."""
+    if liked:
+        mode, rows = "personalized", personal(liked, n)
+    else:
+        mode, rows = "top_rated", cold_start(books, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("average_rating"), F.desc("ratings_count"), "book_id")))
+    return mode, rows if details is None else enrich(rows, details).withColumn("score", F.col("similarity").cast("double"))
 
 
 def cluster_list(members: DataFrame) -> DataFrame:
@@ -55,10 +73,11 @@ def cluster_list(members: DataFrame) -> DataFrame:
     return members.select("cluster_id", "cluster_label", "cluster_size").distinct().orderBy(F.desc("cluster_size"), "cluster_id")
 
 
-def neighborhood(members: DataFrame, cluster_id: int, show: int | None = 10) -> DataFrame:
-    """A cluster's members by rank: the first 10, 25, 50, or all (None)."""
+def neighborhood(members: DataFrame, cluster_id: int, show: int | None = 10, details: DataFrame | None = None, key: str = "book_id") -> DataFrame:
+    """A cluster's members by rank: the first 10, 25, 50, or all (None); with their details, if there are any."""
     own = members.where(F.col("cluster_id") == cluster_id)
-    return (own if show is None else own.where(F.col("cluster_rank") <= show)).orderBy("cluster_rank")
+    own = own if show is None else own.where(F.col("cluster_rank") <= show)
+    return (own if details is None else enrich(own, details, key)).orderBy("cluster_rank")
 
 
 def shown_caption(total: int, show: int | None) -> str:

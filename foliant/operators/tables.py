@@ -10,7 +10,7 @@ from foliant.sources.scratch import materialise
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from foliant.functions import shelves as H
 from foliant.operators.language import MOST_GRAMS
-from foliant.operators.text_search import encode_query, word_hash_encoder
-from foliant.plans.queries import LIKED, THEME, VIEWS
+from foliant.plans.queries import LIKED, VIEWS
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _UNIT = "list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12))"
 SIMILAR = f"""v AS (SELECT vec_id, {_E} AS e FROM embeddings),
-sim AS (SELECT v.vec_id, round(list_dot_product(v.e, {_UNIT.replace('e,', 'q.e,').replace('(e', '(q.e').replace(' e)', ' q.e)')}), 6) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q WHERE v.vec_id <> 0 ORDER BY score DESC, v.vec_id LIMIT 10)"""
+sim AS (SELECT v.vec_id, round(list_dot_product(v.e, {_UNIT.replace('e,', 'q.e,').replace('(e', '(q.e').replace(' e)', ' q.e)')}), 6) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q WHERE v.vec_id <> 0 ORDER BY list_dot_product(v.e, {_UNIT.replace('e,', 'q.e,').replace('(e', '(q.e').replace(' e)', ' q.e)')}) DESC, v.vec_id LIMIT 10)"""
 MEMBERS = """m AS (SELECT vec_id, label AS cluster_id, row_number() OVER (PARTITION BY label ORDER BY round(CAST(embedding[1] AS DOUBLE), 6) DESC, vec_id) AS cluster_rank,
   count(*) OVER (PARTITION BY label) AS cluster_size FROM embeddings)"""
 BUCKET = "CASE WHEN rating IN (1, 2) THEN 'negative' WHEN rating = 3 THEN 'neutral' ELSE 'positive' END"
@@ -48,6 +47,12 @@ def _told(id_: str, of: str, source: str) -> str:
     return f"told AS (SELECT {id_}, lang AS detected FROM (SELECT {id_}, lang, sum(weight * k) AS s FROM (SELECT {id_}, g, count(*) AS k FROM {_grams(of, source)} GROUP BY ALL) JOIN tw USING (g) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {id_} ORDER BY s DESC, lang) = 1)"
 
 
+_RECOMMENDED = f"""v AS (SELECT vec_id, {_E} AS e FROM embeddings), f(pos, vec_id) AS (VALUES (0, 3), (1, 17), (2, 42), (3, 99999)),
+k AS (SELECT v.e, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM f JOIN v USING (vec_id)), w AS (SELECT e, (0.4::DOUBLE + 1.2::DOUBLE * i / (n - 1)) / n AS w FROM k),
+p AS (SELECT list(s ORDER BY j) AS e FROM (SELECT j, sum(w * e[j]) AS s FROM w, range(1, 65) t(j) GROUP BY j)), q AS (SELECT {_UNIT} AS q FROM p),
+s AS (SELECT vec_id, list_dot_product(e, q) AS whole FROM v, q WHERE vec_id NOT IN (SELECT vec_id FROM f)),
+m AS (SELECT s.vec_id, p_name AS title, coalesce(ROUND(1 + CAST(p_partkey * 37 % 401 AS DOUBLE) / 100, 2), 0) AS average_rating, whole FROM s LEFT JOIN part ON p_partkey = vec_id ORDER BY whole DESC, 3 DESC, s.vec_id LIMIT 5),
+rec AS (SELECT CAST(row_number() OVER (ORDER BY whole DESC, average_rating DESC, vec_id) AS INTEGER) AS rank, vec_id, title, average_rating, round(whole, 6) AS similarity FROM m)"""
 W = lambda body: f"{VIEWS} {body}"
 ORACLE = {
     "similar_items_topk": f"WITH {SIMILAR} SELECT vec_id, score FROM sim",
@@ -55,12 +60,8 @@ ORACLE = {
     "layernorm_truncate_l2": f"""WITH v AS (SELECT vec_id, {_E} AS a FROM embeddings), m AS (SELECT vec_id, a, list_avg(a) AS m FROM v), s AS (SELECT vec_id, list_transform(a, lambda x: (x - m) / sqrt(list_avg(list_transform(a, lambda z: (z - m) * (z - m))) + 1e-5))[1:32] AS e FROM m),
 u AS (SELECT vec_id, {_UNIT} AS u FROM s) SELECT vec_id, round(u[1], 6) AS first, round(u[32], 6) AS last, CAST(len(u) AS INTEGER) AS width FROM u""",
     "recency_weights": "SELECT CAST(i AS INTEGER) AS pos, round((0.4::DOUBLE + 1.2::DOUBLE * i / 3) / 4, 6) AS weight FROM range(4) t(i)",
-    "recommend_topn": f"""WITH v AS (SELECT vec_id, {_E} AS e FROM embeddings), f(pos, vec_id) AS (VALUES (0, 3), (1, 17), (2, 42), (3, 99999)),
-k AS (SELECT v.e, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM f JOIN v USING (vec_id)), w AS (SELECT e, (0.4::DOUBLE + 1.2::DOUBLE * i / (n - 1)) / n AS w FROM k),
-p AS (SELECT list(s ORDER BY j) AS e FROM (SELECT j, sum(w * e[j]) AS s FROM w, range(1, 65) t(j) GROUP BY j)), q AS (SELECT {_UNIT} AS q FROM p),
-s AS (SELECT vec_id, round(list_dot_product(e, q), 6) AS similarity FROM v, q WHERE vec_id NOT IN (SELECT vec_id FROM f)),
-m AS (SELECT s.vec_id, p_name AS title, coalesce(ROUND(1 + CAST(p_partkey * 37 % 401 AS DOUBLE) / 100, 2), 0) AS average_rating, similarity FROM s LEFT JOIN part ON p_partkey = vec_id ORDER BY similarity DESC, 3 DESC, s.vec_id LIMIT 5)
-SELECT CAST(row_number() OVER (ORDER BY similarity DESC, average_rating DESC, vec_id) AS INTEGER) AS rank, * FROM m""",
+    "recommend_topn": f"WITH {_RECOMMENDED} SELECT rank, vec_id, title, average_rating, similarity FROM rec",
+    "recommendations_personal": f"""{VIEWS}, {_RECOMMENDED} SELECT rank, book_id, b.title, rec.average_rating, similarity AS score, publisher, num_pages, 'personalized' AS mode FROM rec LEFT JOIN books b ON book_id = CAST(vec_id AS STRING)""",
     "coldstart_top_rated": W("SELECT book_id, title, average_rating, CAST(NULL AS DOUBLE) AS similarity FROM books ORDER BY average_rating DESC, ratings_count DESC, book_id LIMIT 5"),
     "cluster_assign_step": f"""WITH v AS (SELECT vec_id, label, {_E} AS e FROM embeddings), c AS (SELECT label, list(s ORDER BY j) AS e FROM (SELECT label, j, sum(e[j]) AS s FROM v, range(1, 65) t(j) GROUP BY 1, 2) GROUP BY label),
 u AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cluster_id, {_UNIT} AS u FROM c), n AS (SELECT vec_id, {_UNIT} AS x FROM v)
@@ -128,11 +129,10 @@ _TOP_SHELVES = f"{CLEAN}, {_SHELF_RANKS}, ts AS (SELECT cluster_id, shelf, {_WEI
 _RUN = "log AS (SELECT o_orderkey % 3 = 0 AS ok, o_custkey AS input_chars, o_orderkey % 1000 AS output_tokens FROM orders)"
 _NAME = f"coalesce({_map(H.FAMILY_OF)}[shelf], {_map(H.OWN_DISPLAY)}[shelf], {_TITLE})"
 ORACLE |= {
-    "thematic_search": W(f""", v AS (SELECT CAST(vec_id AS STRING) AS book_id, round(list_dot_product({_E}, {encode_query(word_hash_encoder(64), THEME, 64)}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, book_id LIMIT 10)
-SELECT book_id, title, average_rating, ratings_count, text_reviews_count, score FROM v JOIN books USING (book_id)"""),
     "favorites_page": W(f", f AS (SELECT unnest({list(dict.fromkeys(LIKED))}) AS book_id, CAST(unnest(range(1, {len(set(LIKED)) + 1})) AS INTEGER) AS _fav_order) SELECT book_id, title, _fav_order FROM f JOIN books USING (book_id)"),
     "cluster_list": f"WITH {MEMBERS} SELECT DISTINCT cluster_id, concat('c', cluster_id) AS cluster_label, cluster_size FROM m",
     "neighborhood_show_limit": f"WITH {MEMBERS} SELECT vec_id, CAST(cluster_rank AS INTEGER) AS cluster_rank, concat('c', cluster_id) AS cluster_label FROM m WHERE cluster_id = 2 AND cluster_rank <= 25",
+    "neighborhood_members": f"{VIEWS}, {MEMBERS} SELECT CAST(vec_id AS STRING) AS book_id, CAST(cluster_rank AS INTEGER) AS cluster_rank, concat('c', cluster_id) AS cluster_label, title, publisher FROM m LEFT JOIN books ON book_id = CAST(vec_id AS STRING) WHERE cluster_id = 2 AND cluster_rank <= 25",
     "recommendations_mode": W("SELECT CAST(row_number() OVER (ORDER BY average_rating DESC, ratings_count DESC, book_id) AS INTEGER) AS rank, book_id, 'top_rated' AS mode FROM books QUALIFY rank <= 5"),
     "cluster_size_stats": f"WITH {MEMBERS}, n AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1) SELECT count(*) AS clusters, min(n) AS least, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, max(n) AS most, CAST(sum(n) AS BIGINT) AS members FROM n",
     "cluster_top_shelves": W(f", {_TOP_SHELVES} SELECT * FROM ts"),

@@ -9,8 +9,10 @@ from foliant.functions import scalars as S
 from foliant.functions import shelves as H
 from foliant.functions import vectors as V
 from foliant.operators import checks, clustering, labels, search, serve, summaries, tables, text_search
+from foliant.operators.encoder import fit_encoder
 from foliant.operators.language import strict_english, train_languages
 from foliant.sources.raw import is_english, line_id, lines_of
+from foliant.sources.scratch import materialise
 
 BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, p_name AS title, concat(p_type, ' ', p_brand) AS description, p_brand AS publisher,
   p_size * 40 AS num_pages, ROUND(1 + CAST(p_partkey * 37 % 401 AS DOUBLE) / 100, 2) AS average_rating,
@@ -311,8 +313,21 @@ def _log_length(spark, d):
 
 
 def _thematic(spark, d):
-    v = vectors(spark, d).select(F.col("vec_id").cast("string").alias("book_id"), "embedding")
-    return text_search.thematic_search(v, books(spark, d), THEME, text_search.word_hash_encoder(64), 10, width=64)
+    items, encoder, v = _encoded(spark, d)
+    return text_search.thematic_search(v, items, THEME, encoder, 10, width=48)
+
+
+def _encoded(spark, d):
+    """Documents, an encoder fitted on their texts, and their vectors."""
+    items = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), F.col("source").alias("title"), F.col("text").alias("search_text"))
+    encoder = fit_encoder(items, width=64)
+    return items, encoder, materialise(text_search.encode_items(items, encoder, 48, prefix=text_search.ITEM_PREFIX), "items")
+
+
+def _text_page(spark, d):
+    items, encoder, v = _encoded(spark, d)
+    details = items.select("book_id", "title", F.length("search_text").alias("n_chars"))
+    return serve.search_page(v, items, details, encoder, THEME, 99, width=48)[0].select("rank", "book_id", "title", "score", "n_chars")
 
 
 def _favorites_page(spark, d):
@@ -336,6 +351,23 @@ def _cold_mode(spark, d):
     return rows.select("rank", "book_id", F.lit(mode).alias("mode"))
 
 
+def _personal_mode(spark, d):
+    b = books(spark, d)
+    items = vectors(spark, d).select(F.col("vec_id").cast("string").alias("book_id"), "embedding")
+
+    def personal(liked, n):
+        favorites = spark.createDataFrame(list(enumerate(liked)), "pos int, book_id string")
+        return search.recommend(items, favorites, b.select("book_id", "title", "average_rating"), n, "book_id")
+
+    mode, rows = serve.recommendations(b, [str(i) for _, i in FAVORITES], personal, 5, b.select("book_id", "publisher", "num_pages"))
+    return rows.select("rank", "book_id", "title", "average_rating", "score", "publisher", "num_pages", F.lit(mode).alias("mode"))
+
+
+def _members_shown(spark, d):
+    m = _labelled(spark, d).withColumn("book_id", F.col("vec_id").cast("string"))
+    return serve.neighborhood(m, 2, 25, books(spark, d).select("book_id", "title", "publisher")).select("book_id", "cluster_rank", "cluster_label", "title", "publisher")
+
+
 def _size_stats(spark, d):
     return clustering.size_stats(_members(spark, d))
 
@@ -437,6 +469,7 @@ QUERIES = {
     "search_page": _page, "neighborhood_slice": _slice, "display_scalars": _display, "controversy_score": _controversy, "shelf_top30": _shelf30, "field_coverage": _coverage, "sparsity": _sparsity,
     "seeded_sample": _seeded, "equal_width_bins": _bins, "numeric_summary": _summary, "value_counts": _values, "clip_log_length": _log_length,
     "thematic_search": _thematic, "favorites_page": _favorites_page, "cluster_list": _cluster_list, "neighborhood_show_limit": _show_limit, "recommendations_mode": _cold_mode, "cluster_size_stats": _size_stats,
+    "search_page_of_text": _text_page, "recommendations_personal": _personal_mode, "neighborhood_members": _members_shown,
     "cluster_top_shelves": _top_shelves, "cluster_summary": _cluster_summary, "final_artifact": _final, "run_averages": _averages, "run_counts": _run_counts, "run_outcomes_union": _outcomes, "review_count_stats": _review_counts,
     "text_length_stats": _length_stats, "strict_english": _strict, "sampled_tables": _sampled, "prototype_subset": _prototype, "line_filter_before_parse": _line_filter, "compact_json": _compact, "input_checks": _checked,
 }
