@@ -29,34 +29,78 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def assign(items: DataFrame, centroids: np.ndarray, id_col: str, vector: str) -> DataFrame:
-    """id, cluster_id and similarity; the first of equal similarities wins."""
+    """id, cluster_id and similarity; the first of equal similarities wins. A row without a vector has neither."""
     c = _unit(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                s = _unit(np.array(b.column(1).to_pylist(), dtype=np.float64)) @ c.T
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.argmax(1), pa.int32()), pa.array(s.max(1))], names=[id_col, "cluster_id", "similarity"])
+                there = np.asarray(b.column(1).is_valid())
+                s = _unit(_matrix(b.column(1).drop_null())) @ c.T if there.any() else np.zeros((0, len(c)))
+                at, best = np.zeros(len(b), np.int32), np.zeros(len(b))
+                at[there], best[there] = s.argmax(1), s.max(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, mask=~there), pa.array(best, mask=~there)], names=[id_col, "cluster_id", "similarity"])
+
+    return items.select(id_col, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, f"{id_col} {items.schema[id_col].dataType.simpleString()}, cluster_id int, similarity double")
+
 
-    return items.select(id_col, vector).mapInArrow(run, f"{id_col} {items.schema[id_col].dataType.simpleString()}, cluster_id int, similarity double")
+#: Seeds that a row is compared with before its least distance is written beside it: below that, comparing takes less than writing the vectors again.
+SEEDS = 64
+
+
+def prepared(items: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """id and vector of the rows that have one, written once: whatever made them is not run again in each round."""
+    return materialise(items.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias(vector)), "vectors")
 
 
 def seed_centroids(items: DataFrame, k: int, seed: int, id_col: str, vector: str) -> np.ndarray:
-    """k-means++ by weighted races: in each round the row with the least -ln(u) / d^2, u hashed from seed, round and id, is the next centroid."""
+    """k-means++ by weighted races: in each round the row with the least -ln(u) / d^2, u hashed from seed, round and id, is the next centroid (the least u where all distances are 0).
+
+    A round is one job that reads the vectors once and brings back one row with its vector. A row's least distance is kept beside it, and written again after each SEEDS seeds, so that a row meets at most SEEDS of them in a round.
+    """
     n = items.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must be from 1 to {n}")
-    v, chosen, ids = F.col(vector).cast("array<double>"), [], []
+    now, chosen, ids, written = items.select(id_col, vector).withColumn("_least", F.lit(2.0)), [], [], 0
+    kind = items.schema[id_col].dataType.simpleString()
+
+    def least(b: pa.RecordBatch, seeds: np.ndarray) -> np.ndarray:
+        d = np.asarray(b.column(2))
+        return np.minimum(d, np.clip(1 - (_unit(_matrix(b.column(1))) @ seeds.T).max(1), 0, 2)) if len(seeds) else d
+
     for r in range(k):
+        if r - written == SEEDS:
+            seeds = np.array(chosen[written:])
+
+            def kept(batches: Iterator[pa.RecordBatch], seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least(b, seeds))], names=[id_col, vector, "_least"])
+
+            now, written = materialise(now.mapInArrow(kept, f"{id_col} {kind}, {vector} array<double>, _least double"), "least"), r
+        seeds = np.array(chosen[written:])
+
+        def raced(batches: Iterator[pa.RecordBatch], seeds: np.ndarray = seeds, first: bool = r == 0) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    u = np.asarray(b.column(3))
+                    d2 = np.zeros(len(b)) if first else least(b, seeds) ** 2
+                    t = np.full(len(b), np.inf)
+                    np.divide(-np.log(u), d2, out=t, where=d2 > 0)
+                    best = np.flatnonzero(t == t.min())
+                    best = best[u[best] == u[best].min()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(best)), b.column(1).take(pa.array(best)), pa.array(t[best]), pa.array(u[best])], names=[id_col, vector, "_t", "_u"])
+
         u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(id_col)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-        if chosen:
-            near = assign(items, np.array(chosen), id_col, vector).withColumnRenamed("similarity", "s")
-            d = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - F.col("s")))
-            race = near.where(~F.col(id_col).isin(ids)).withColumn("d2", d * d).select(id_col, F.when(F.col("d2") > 0, -F.log(u) / F.col("d2")).alias("t"), u.alias("u"))
-            row = race.orderBy(F.asc_nulls_last("t"), "u", id_col).limit(1).join(items, id_col).head()
-        else:
-            row = items.orderBy(u, id_col).head()
+        race = now.where(~F.col(id_col).isin(ids)) if ids else now
+        row = race.select(id_col, vector, "_least", u.alias("_u")).mapInArrow(raced, f"{id_col} {kind}, {vector} array<double>, _t double, _u double").orderBy("_t", "_u", id_col).limit(1).collect()[0]
         ids.append(row[id_col])
         chosen.append(_unit(np.array(row[vector], dtype=np.float64)))
     return np.array(chosen)
@@ -65,8 +109,10 @@ def seed_centroids(items: DataFrame, k: int, seed: int, id_col: str, vector: str
 def spherical_kmeans(items: DataFrame, k: int, *, max_rounds: int = 100, tolerance: float = 1e-5, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> Clusters:
     """Rounds of one job each: a row per task and cluster (sum, count, similarity, rows whose label is new), summed by cluster. Clusters left empty move to the rows furthest from theirs.
 
+    Vectors are written once, and that table is what the k seeds, the rounds and the final assignment each read once. Rows without a vector take no part, and are not assigned.
     Rounds end when no label changes, when no centroid moves by tolerance, or after max_rounds; converged is false in the last case.
     """
+    items = prepared(items, id_col, vector)
     c, history, converged = seed_centroids(items, k, seed, id_col, vector), [], False
     dim, before = c.shape[1], None
 
@@ -77,7 +123,7 @@ def spherical_kmeans(items: DataFrame, k: int, *, max_rounds: int = 100, toleran
             total = np.zeros((k, dim + 3))
             for b in batches:
                 if len(b):
-                    x = _unit(np.array(b.column(0).to_pylist(), dtype=np.float64))
+                    x = _unit(_matrix(b.column(0)))
                     s = x @ here.T
                     at = s.argmax(1)
                     new = np.ones(len(x)) if before is None else (x @ before.T).argmax(1) != at
@@ -116,9 +162,12 @@ def rank_members(assigned: DataFrame, id_col: str = "vec_id", representatives: i
     return ranked.withColumn("is_representative", F.col("cluster_rank") <= representatives)
 
 
-def size_stats(assigned: DataFrame) -> DataFrame:
-    """How many clusters there are, the least, median and most members, and all members."""
+def size_stats(assigned: DataFrame, k: int | None = None) -> DataFrame:
+    """How many clusters there are, the least, median and most members, and all members. With k, the clusters are 0 to k - 1, those without members among them, and members that are of none raise."""
     n = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    if k is not None:
+        known = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+        n = known.join(n, "cluster_id", "full").select(F.when(F.col("cluster_id").between(0, k - 1), F.coalesce("n", F.lit(0))).otherwise(F.raise_error(F.lit(f"a member of none of {k} clusters")).cast("long")).alias("n"))
     return n.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"), F.sum("n").alias("members"))
 
 
