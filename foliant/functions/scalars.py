@@ -113,6 +113,22 @@ def percent_score(score: Column) -> Column:
     return F.when(score <= 1, score * 100).otherwise(score)
 
 
+def whole_percent(score: Column) -> Column:
+    """A score as a whole number of 100, halves to even; none counts as 0."""
+    return F.bround(percent_score(F.coalesce(score.cast("double"), F.lit(0.0)))).cast("long").cast("string")
+
+
+def match_text(similarity: Column) -> Column:
+    """A share as whole per cents, halves to even; null without one."""
+    s = similarity.cast("double")
+    return F.when(s.isNotNull() & ~F.isnan(s), F.concat(F.bround(s * 100).cast("long").cast("string"), F.lit("%")))
+
+
+def has_isbn(c: Column) -> Column:
+    """Neither null nor empty nor the text None."""
+    return F.coalesce(~c.isin("", "None"), F.lit(False))
+
+
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -120,7 +136,7 @@ def html_escape(c: Column) -> Column:
 
 
 def tag_list(c: Column) -> Column:
-    """Tags of a JSON array, or of one plain text; blank ones dropped."""
+    """Tags of a list in JSON or with single quotes, as Python shows one, or of one plain text; blank ones dropped."""
     parsed = F.from_json(c, "array<string>")
     raw = F.when(parsed.isNotNull(), parsed).when(text_or_empty(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(raw, lambda t: F.trim(t)), lambda t: t != "")

@@ -55,5 +55,10 @@ def recommend(items: DataFrame, favorites: DataFrame, metadata: DataFrame, n: in
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("similarity", F.round("_whole", 6)).drop("_whole")
 
 
+def unknown_favorites(items: DataFrame, favorites: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """The favourites that no item has, for a warning; persona() leaves them out."""
+    return favorites.join(items.select(id_col), id_col, "left_anti")
+
+
 def favorites_frame(spark: SparkSession, pairs: list[tuple[int, int]], id_col: str = "vec_id") -> DataFrame:
     return spark.createDataFrame(pairs, f"pos int, {id_col} long")

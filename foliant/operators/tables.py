@@ -18,11 +18,24 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+#: Groups into which a user's rows are dealt before they are counted.
+DEALT = 32
+
+
 def active_users(interactions: DataFrame, books: DataFrame, least: int) -> DataFrame:
-    """Rated interactions with known books, of users with least of them or more (rows, not distinct books)."""
-    rated = interactions.where("rating > 0").join(books.select("book_id"), "book_id", "left_semi")
-    users = rated.groupBy("user_id").count().where(F.col("count") >= least)
-    return rated.join(users, "user_id", "left_semi")
+    """Rated interactions with known books, of users with least of them or more (rows, not distinct books).
+
+    Users' rows are dealt in groups by hash and counted there. A group of least rows or more shows by itself that its user is active; all but its first row, which carries its count,
+    stay in it. So the second count, over a user's other rows, meets DEALT * least of them at most, however active the user is. Users without an id aren't counted.
+    """
+    rated = interactions.where("rating > 0 and user_id is not null").join(books.select("book_id"), "book_id", "left_semi")
+    dealt = rated.withColumn("_group", F.pmod(F.xxhash64(*(F.col(c) for c in rated.columns if c != "user_id")), F.lit(DEALT)).cast("int"))
+    own = Window.partitionBy("user_id", "_group")
+    dealt = dealt.withColumns({"_n": F.count("*").over(own), "_first": F.row_number().over(own.orderBy("_group")) == 1})
+    stays = (F.col("_n") >= least) & ~F.col("_first")
+    dealt = dealt.withColumn("_group", F.when(stays, F.col("_group")).otherwise(-1))
+    total = F.sum(F.when(F.col("_first"), F.col("_n")).otherwise(0)).over(Window.partitionBy("user_id", "_group"))
+    return dealt.withColumn("_all", total).where((F.col("_group") >= 0) | (F.col("_all") >= least)).drop("_group", "_n", "_first", "_all")
 
 
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -109,7 +122,45 @@ def drop_reasons(reviews: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def field_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per column: share of non-null and of non-empty values."""
-    one = df.agg(*(x for c in columns for x in (F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}_a"), F.avg((F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("double")).alias(f"{c}_b"))))
-    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_a").alias("non_null"), F.col(f"{c}_b").alias("non_empty")) for c in columns))
+    """A row per column: its type, share of non-null and of non-empty values, and a sample, the least value as text that isn't empty (of 80 characters at most). One pass over the table."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    measures = lambda c: (F.avg(F.col(c).isNotNull().cast("double")), F.avg((text(c) != "").cast("double")), F.min(F.when(text(c) != "", F.left(text(c), F.lit(80)))))
+    one = df.agg(*(m.alias(f"{i}_{j}") for i, c in enumerate(columns) for j, m in enumerate(measures(c))))
+    kinds = dict(df.dtypes)
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(kinds[c]).alias("kind"), F.col(f"{i}_0").alias("non_null"), F.col(f"{i}_1").alias("non_empty"), F.col(f"{i}_2").alias("sample")) for i, c in enumerate(columns)))
     return one.select(F.inline(rows))
+
+
+def shares(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
+    """A row per predicate: how many rows satisfy it, of all, and their share (null is not satisfied; no share without rows). One pass."""
+    one = df.agg(F.count("*").alias("_rows"), *(F.count_if(p).alias(f"_{i}") for i, p in enumerate(predicates.values())))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("predicate"), F.col(f"_{i}").alias("n"), F.col("_rows").alias("rows"), (F.try_divide(F.col(f"_{i}").cast("double"), F.col("_rows"))).alias("share")) for i, name in enumerate(predicates)))))
+
+
+def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+    """bin (from 0), its lower bound and n for each of bins equal widths from low to high, the last with its upper bound; empty ones have 0. Nulls and values outside aren't counted."""
+    v = F.col(value).cast("double")
+    at = F.least(F.width_bucket(v, F.lit(float(low)), F.lit(float(high)), F.lit(bins)) - 1, F.lit(bins - 1)).cast("long")
+    found = df.where(v.between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(found, "bin", "left").select("bin", (F.lit(float(low)) + F.col("bin") * F.lit((float(high) - low) / bins)).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def validation_summary(books: DataFrame, interactions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """metric and value: rows, distinct ids, and which books are in which tables. Each table is read once: ids are counted before the shuffle, and the tables meet as counts by id."""
+    none = {c: F.lit(0).cast("long") for c in ("b", "i", "r")}
+
+    def counted(df: DataFrame, kind: str, key: str, column: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), *((F.lit(1).cast("long") if c == column else x).alias(c) for c, x in none.items()))
+
+    both = interactions.select(F.explode(F.array(F.struct(F.lit("book").alias("kind"), F.col("book_id").cast("string").alias("id")), F.struct(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id")))).alias("s"))
+    ids = counted(books, "book", "book_id", "b").unionByName(counted(reviews, "book", "book_id", "r")).unionByName(both.select("s.kind", "s.id", *((F.lit(1).cast("long") if c == "i" else x).alias(c) for c, x in none.items())))
+    n = ids.groupBy("kind", "id").agg(*(F.sum(c).alias(c) for c in none))
+    book = F.col("kind") == "book"
+    held = {c: book & (F.col(c) > 0) for c in none}
+    metrics = {
+        "books": F.count_if(held["b"]), "interactions": F.sum(F.when(book, F.col("i")).otherwise(0)), "reviews": F.sum("r"), "users": F.count_if(~book), "in_all": F.count_if(held["b"] & held["i"] & held["r"]),
+        "orphan_interactions": F.count_if(held["i"] & ~held["b"]), "books_without_reviews": F.count_if(held["b"] & ~held["r"]), "in_any": F.count_if(held["i"] | held["r"]),
+    }
+    one = n.agg(*(F.coalesce(m, F.lit(0)).alias(name) for name, m in metrics.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in metrics))))

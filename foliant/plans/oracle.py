@@ -114,7 +114,11 @@ FROM (SELECT *, CAST(round_even(average_rating, 0) AS INTEGER) AS n FROM books)"
     "controversy_score": W(""", s AS (SELECT book_id, count(*) AS n, round(stddev_samp(rating) * (avg(CAST(rating = 1 AS INTEGER)) + avg(CAST(rating = 5 AS INTEGER))), 6) AS score FROM interactions WHERE rating BETWEEN 1 AND 5 GROUP BY 1 HAVING count(*) >= 20 ORDER BY score DESC, book_id LIMIT 15)
 SELECT s.*, title FROM s LEFT JOIN books USING (book_id)"""),
     "shelf_top30": W("SELECT shelf, count(*) AS n FROM (SELECT unnest(string_split(popular_shelves, ',')) AS shelf FROM books) GROUP BY 1 ORDER BY n DESC, shelf LIMIT 30"),
-    "field_coverage": W(" UNION ALL ".join(f"SELECT '{c}' AS field, round(avg(CAST({c} IS NOT NULL AS INTEGER)), 6) AS non_null, round(avg(CAST(coalesce(CAST({c} AS STRING), '') <> '' AS INTEGER)), 6) AS non_empty FROM reviews" for c in ("review_text", "language_code", "n_votes"))),
+    "field_coverage": W(" UNION ALL ".join(f"SELECT '{c}' AS field, '{kind}' AS kind, round(avg(CAST({c} IS NOT NULL AS INTEGER)), 6) AS non_null, round(avg(CAST(coalesce(CAST({c} AS STRING), '') <> '' AS INTEGER)), 6) AS non_empty, min(CASE WHEN CAST({c} AS STRING) <> '' THEN left(CAST({c} AS STRING), 80) END) AS sample FROM reviews" for c, kind in (("review_text", "string"), ("language_code", "string"), ("n_votes", "int")))),
+    "equal_width_histograms": W(" UNION ALL ".join(f"""SELECT '{name}' AS name, i AS bin, round({low} + i * {(high - low) / bins}::DOUBLE, 6) AS low, (SELECT count(*) FROM {t} WHERE {c} BETWEEN {low} AND {high} AND least(CAST(floor(({c} - {low}) * {bins}::DOUBLE / {high - low}) AS BIGINT), {bins - 1}) = i) AS n FROM range({bins}) r(i)"""
+        for name, t, c, bins, low, high in (("chars_40", "documents", "n_chars", 40, 0, 5000), ("chars_60", "documents", "n_chars", 60, 0, 2000), ("pages_50", "books", "num_pages", 50, 0, 2000), ("ratings_40", "books", "average_rating", 40, 1, 5)))),
+    "predicate_shares": W(" UNION ALL ".join(f"SELECT '{name}' AS predicate, count(*) FILTER ({p}) AS n, count(*) AS rows, round(count(*) FILTER ({p}) / CAST(count(*) AS DOUBLE), 6) AS share FROM reviews"
+        for name, p in (("rated", "rating > 0"), ("ten words", "len(list_filter(string_split_regex(review_text, '\\s+'), lambda x: x <> '')) >= 10"), ("coded", "trim(language_code) <> ''"), ("isbn", "language_code IS NOT NULL AND language_code NOT IN ('', 'None')"), ("voted", "n_votes > 0")))),
     "sparsity": W("SELECT users, items, round(1 - CAST(n AS DOUBLE) / (users * items), 8) AS sparsity FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT book_id) AS items FROM interactions)"),
     "seeded_sample": "SELECT doc_id, md5(concat('42', doc_id)) AS h FROM documents ORDER BY h, doc_id LIMIT 3",
     "equal_width_bins": "SELECT least(CAST(floor(n_chars / 100.0) AS BIGINT), 49) AS bin, count(*) AS n FROM documents WHERE n_chars <= 5000 GROUP BY 1",
@@ -145,6 +149,9 @@ SELECT cluster_id, count(*) AS cluster_size, (SELECT string_agg(concat(name, ':'
     "run_averages": f"WITH {_RUN} SELECT round(avg(input_chars), 6) AS mean_input_chars, round(avg(output_tokens), 6) AS mean_output_tokens FROM log WHERE ok",
     "run_counts": f"WITH {_RUN} SELECT count(*) AS items, count(*) FILTER (ok AND output_tokens < 500) AS succeeded, count(*) FILTER (NOT ok AND output_tokens < 500) AS failed, count(*) FILTER (NOT (ok AND output_tokens < 500)) AS unresolved FROM log",
     "run_outcomes_union": f"WITH {_RUN} SELECT CASE WHEN NOT ok THEN 'Refused' END AS error_type, count(*) AS n, CAST(sum(CASE WHEN ok THEN output_tokens END) AS BIGINT) AS tokens FROM log GROUP BY ok",
+    "processed_ids": "SELECT DISTINCT CAST(o_orderkey AS STRING) AS book_id FROM orders WHERE o_orderkey % 1000 < 500",
+    "unknown_favorites": "SELECT DISTINCT o_custkey AS vec_id FROM orders WHERE o_custkey NOT IN (SELECT vec_id FROM embeddings)",
+    "llm_input_checks": "SELECT count(*) AS n, CAST(sum(length(CAST(p_partkey AS STRING))) AS BIGINT) AS chars FROM part",
     "review_count_stats": W(", n AS (SELECT b.book_id, count(r.book_id) AS n FROM books b LEFT JOIN (SELECT * FROM reviews WHERE rating > 0) r USING (book_id) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, min(n) AS least, max(n) AS most FROM n"),
     "text_length_stats": "SELECT quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS median_chars, CAST(max(length(text)) AS INTEGER) AS most_chars FROM documents",
     "strict_english": f"""WITH c AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),

@@ -142,14 +142,7 @@ def _last(spark, d):
 
 
 def _validate(spark, d):
-    b, i, r = books(spark, d).select("book_id").distinct(), interactions(spark, d), reviews(spark, d)
-    ib, rb = i.select("book_id").distinct(), r.select("book_id").distinct()
-    one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-    parts = [one(b, "books"), one(i, "interactions"), one(r, "reviews"), one(i.select("user_id").distinct(), "users"), one(b.intersect(ib).intersect(rb), "in_all"), one(ib.subtract(b), "orphan_interactions"), one(b.subtract(rb), "books_without_reviews"), one(ib.union(rb).distinct(), "in_any")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return tables.validation_summary(books(spark, d), interactions(spark, d), reviews(spark, d))
 
 
 def _histogram(spark, d):
@@ -295,8 +288,23 @@ def _seeded(spark, d):
 
 
 def _bins(spark, d):
-    t = table(spark, d, "documents").where("n_chars <= 5000").select((F.width_bucket(F.col("n_chars").cast("double"), F.lit(0.0), F.lit(5000.0), F.lit(50)) - 1).alias("bin"))
-    return t.groupBy(F.least("bin", F.lit(49)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return tables.histogram(table(spark, d, "documents"), "n_chars", 50, 0, 5000).where("n > 0").select("bin", "n")
+
+
+def _bins_of_all(spark, d):
+    """Widths of several histograms, by name."""
+    docs, b = table(spark, d, "documents"), books(spark, d)
+    parts = {"chars_40": tables.histogram(docs, "n_chars", 40, 0, 5000), "chars_60": tables.histogram(docs, "n_chars", 60, 0, 2000), "pages_50": tables.histogram(b, "num_pages", 50, 0, 2000), "ratings_40": tables.histogram(b, "average_rating", 40, 1, 5)}
+    rows = [h.select(F.lit(name).alias("name"), "bin", F.round("low", 6).alias("low"), "n") for name, h in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r)
+    return out
+
+
+def _shares(spark, d):
+    r = reviews(spark, d)
+    return tables.shares(r, {"rated": F.col("rating") > 0, "ten words": S.word_count(F.col("review_text")) >= 10, "coded": S.text_or_empty(F.col("language_code")) != "", "isbn": S.has_isbn(F.col("language_code")), "voted": F.col("n_votes") > 0}).withColumn("share", F.round("share", 6))
 
 
 def _summary(spark, d):
@@ -410,6 +418,21 @@ def _outcomes(spark, d):
     return both.groupBy("error_type").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("tokens"))
 
 
+def _processed(spark, d):
+    log = _run_log(spark, d)
+    return summaries.run_ids(log.where("ok").select("book_id").unionAll(log.where("not ok and attempts > 0").select("book_id")), log.where("output_tokens < 500"))
+
+
+def _unknown(spark, d):
+    return search.unknown_favorites(vectors(spark, d), table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id")).distinct())
+
+
+def _llm_input_checked(spark, d):
+    """Counts of the run's input, once it has passed its checks."""
+    rows = table(spark, d, "part").select(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("book_id"), F.col("p_name").alias("title"), F.lit(1.0).alias("average_rating"), F.lit(0.5).alias("rating_std_dev"), F.col("p_type").alias("rating_distribution_text"), F.col("p_brand").alias("reviews_text_block"))
+    return summaries.check_llm_input(rows, books(spark, d)).agg(F.count("*").alias("n"), F.sum(F.length("book_id")).alias("chars"))
+
+
 def _review_counts(spark, d):
     return tables.counts_per_book(reviews(spark, d).where("rating > 0"), books(spark, d))
 
@@ -467,9 +490,9 @@ QUERIES = {
     "rating_distribution_text": _distribution, "reviews_text_block": _block, "llm_input_join": _llm_input, "top_reviews_concat": _top_reviews, "search_text": _search_text, "shelf_clean_counts": _shelf_counts,
     "cluster_label_scores": _label_scores, "cluster_labels": _labels, "pending_anti_join": _pending, "jsonl_tolerant_parse": _jsonl, "tags_normalize": _tags, "ui_cache_join": _ui, "result_enrichment": _enriched,
     "search_page": _page, "neighborhood_slice": _slice, "display_scalars": _display, "controversy_score": _controversy, "shelf_top30": _shelf30, "field_coverage": _coverage, "sparsity": _sparsity,
-    "seeded_sample": _seeded, "equal_width_bins": _bins, "numeric_summary": _summary, "value_counts": _values, "clip_log_length": _log_length,
+    "seeded_sample": _seeded, "equal_width_bins": _bins, "equal_width_histograms": _bins_of_all, "predicate_shares": _shares, "numeric_summary": _summary, "value_counts": _values, "clip_log_length": _log_length,
     "thematic_search": _thematic, "favorites_page": _favorites_page, "cluster_list": _cluster_list, "neighborhood_show_limit": _show_limit, "recommendations_mode": _cold_mode, "cluster_size_stats": _size_stats,
     "search_page_of_text": _text_page, "recommendations_personal": _personal_mode, "neighborhood_members": _members_shown,
-    "cluster_top_shelves": _top_shelves, "cluster_summary": _cluster_summary, "final_artifact": _final, "run_averages": _averages, "run_counts": _run_counts, "run_outcomes_union": _outcomes, "review_count_stats": _review_counts,
+    "cluster_top_shelves": _top_shelves, "cluster_summary": _cluster_summary, "final_artifact": _final, "run_averages": _averages, "run_counts": _run_counts, "run_outcomes_union": _outcomes, "processed_ids": _processed, "unknown_favorites": _unknown, "llm_input_checks": _llm_input_checked, "review_count_stats": _review_counts,
     "text_length_stats": _length_stats, "strict_english": _strict, "sampled_tables": _sampled, "prototype_subset": _prototype, "line_filter_before_parse": _line_filter, "compact_json": _compact, "input_checks": _checked,
 }

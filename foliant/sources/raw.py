@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.scalars import first_field, joined_names, safe_float, safe_int, text_or_empty
@@ -35,11 +35,16 @@ def raw_interactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INTERACTION_DDL).csv(path, header=True)
 
 
-def books_table(raw: DataFrame, least_ratings: int = 1000) -> DataFrame:
-    """Books with enough ratings and a title, one row of each id (the first by work and title)."""
+def book_step(least_ratings: int) -> Column:
+    """The first step that drops a line of the books' dump, or kept."""
+    return F.when(F.col("_bad") | F.col("book_id").isNull(), "malformed").when(safe_int(F.col("ratings_count")) < least_ratings, "ratings").when(text_or_empty(F.col("title")) == "", "title").otherwise("kept")
+
+
+def books_table(raw: DataFrame, least_ratings: int = 1000, counters: dict | None = None) -> DataFrame:
+    """Books with enough ratings and a title, one row of each id (the first by work and title). counters: see counted(); the steps are BOOK_STEPS."""
     from foliant.operators.tables import dedupe
 
-    kept = raw.where(~F.col("_bad") & F.col("book_id").isNotNull() & (safe_int(F.col("ratings_count")) >= least_ratings) & (text_or_empty(F.col("title")) != ""))
+    kept = counted(raw.withColumn("_step", book_step(least_ratings)), BOOK_STEPS, {} if counters is None else counters)
     rows = kept.select(
         "book_id", "work_id", text_or_empty(F.col("title")).alias("title"), F.coalesce(F.nullif(text_or_empty(F.col("title_without_series")), F.lit("")), text_or_empty(F.col("title"))).alias("title_without_series"),
         first_field(F.col("authors"), "author_id").alias("primary_author_id"), *(text_or_empty(F.col(c)).alias(c) for c in ("description", "publisher", "format", "language_code", "image_url", "isbn", "isbn13")),
@@ -51,8 +56,7 @@ def books_table(raw: DataFrame, least_ratings: int = 1000) -> DataFrame:
 
 def skipped_books(raw: DataFrame, least_ratings: int = 1000) -> DataFrame:
     """Counts of lines by the first step that drops them."""
-    reason = F.when(F.col("_bad"), "malformed").when(safe_int(F.col("ratings_count")) < least_ratings, "ratings").when(text_or_empty(F.col("title")) == "", "title").otherwise("kept")
-    return raw.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return raw.groupBy(book_step(least_ratings).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def is_english(code: Column, text: Column, detect) -> Column:
@@ -61,16 +65,30 @@ def is_english(code: Column, text: Column, detect) -> Column:
     return F.when(code != "", F.startswith(code, F.lit("en"))).when(F.length(text) < 20, F.lit(False)).otherwise(F.coalesce(detect(text) == "en", F.lit(False)))
 
 
-def reviews_table(raw: DataFrame, books: DataFrame, detect=None) -> DataFrame:
-    """English reviews of known books, but those without rating and text. Without detect, a model is trained on the raw reviews that have a language code."""
+#: Why a line of the dumps is no row, in the order of the steps; kept ones may still be repeats.
+BOOK_STEPS, REVIEW_STEPS = ("malformed", "ratings", "title", "kept"), ("malformed", "book", "empty", "language", "kept")
+
+
+def counted(rows: DataFrame, steps: tuple[str, ...], counters: dict, *, step: str = "_step") -> DataFrame:
+    """The rows whose step is kept, without it. counters gets an Observation under lines: how many rows each step takes, known once the result has been written, without another pass. A stage that is run again after a loss may count its rows twice."""
+    seen = Observation()
+    counters["lines"] = seen
+    return rows.observe(seen, *(F.count_if(F.col(step) == s).alias(s) for s in steps)).where(F.col(step) == "kept").drop(step)
+
+
+def reviews_table(raw: DataFrame, books: DataFrame, detect=None, counters: dict | None = None) -> DataFrame:
+    """English reviews of known books, but those without rating and text. Without detect, a model is trained on the raw reviews that have a language code. counters: see counted(); the steps are REVIEW_STEPS, each of which sees only what those before it left."""
     from foliant.operators.language import trained_on_codes
     from foliant.operators.tables import dedupe
 
     detect = detect or trained_on_codes(raw.where(~F.col("_bad"))).detect
-    known = raw.where(~F.col("_bad")).join(books.select("book_id"), "book_id", "left_semi")
+    marked = raw.join(books.select("book_id", F.lit(True).alias("_known")), "book_id", "left")
     text, rating = text_or_empty(F.col("review_text")), safe_int(F.col("rating"))
-    known = known.where(~((rating == 0) & (text == "")))
-    rows = known.where(is_english(F.col("language_code"), F.col("review_text"), detect)).select("review_id", "user_id", "book_id", rating.alias("rating"), text.alias("review_text"), safe_int(F.col("n_votes")).alias("n_votes"), safe_int(F.col("n_comments")).alias("n_comments"), "date_added")
+    before = F.when(F.col("_bad"), "malformed").when(F.col("_known").isNull(), "book").when((rating == 0) & (text == ""), "empty")
+    # texts that an earlier step drops aren't given to the classifier
+    language = is_english(F.when(before.isNull(), F.col("language_code")), F.when(before.isNull(), F.col("review_text")), detect)
+    rows = counted(marked.withColumn("_step", F.coalesce(before, F.when(~language, "language"), F.lit("kept"))), REVIEW_STEPS, {} if counters is None else counters)
+    rows = rows.select("review_id", "user_id", "book_id", rating.alias("rating"), text.alias("review_text"), safe_int(F.col("n_votes")).alias("n_votes"), safe_int(F.col("n_comments")).alias("n_comments"), "date_added")
     return dedupe(rows, ["review_id"], [F.col("book_id"), F.col("user_id"), F.col("review_text")])
 
 
@@ -85,10 +103,20 @@ def lines_of(lines: DataFrame, ids: DataFrame, field: str = "book_id") -> DataFr
     return keyed.join(ids.select(F.col(field).cast("string").alias("_id")).distinct(), "_id", "left_semi").drop("_id")
 
 
-def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """rank and id of a JSON array of ids; repeats keep their first place."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "id")).groupBy("id").agg(F.min("pos").alias("rank"))
-    return rows.select("rank", F.trim("id").alias("id"))
+def id_list(spark: SparkSession, path: str, size: int | None = None, strict: bool = False) -> DataFrame:
+    """rank and id of a JSON array of ids, trimmed; blank ones are left out, repeats keep their first place. With size, other numbers of ids raise; strict lists have neither blank nor repeated ids, else they raise."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "id")).select("pos", F.trim(F.coalesce("id", F.lit(""))).alias("id"))
+    if strict and (bad := rows.groupBy("id").agg(F.count("*").alias("n")).where("id = '' or n > 1").limit(10).collect()):
+        raise ValueError(f"blank or repeated ids: {[r['id'] for r in bad]}")
+    out = rows.where("id <> ''").groupBy("id").agg(F.min("pos").alias("rank")).select("rank", "id")
+    if size is not None and (n := out.count()) != size:
+        raise ValueError(f"{n} ids, {size} expected")
+    return out
+
+
+def jsonl_records(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The records of a log of one JSON object a line; blank lines, malformed ones, and values that are no objects are passed over."""
+    return read_json_lines(spark, path, ddl).where(~F.col("_bad")).drop("_bad")
 
 
 def sample_rows(spark: SparkSession, path: str, ddl: str, most: int) -> DataFrame:
