@@ -138,8 +138,8 @@ def test_matrices_and_lists(spark, tmp_path):
     assert matrices.aligned(df, df) == 4
     with pytest.raises(ValueError):
         matrices.aligned(df, df.limit(2))
-    with pytest.raises(ValueError):
-        matrices.write_matrix(df, f"{tmp_path}/o.npy", "row", most_rows=3)
+    with pytest.raises(ValueError, match="several widths"):
+        matrices.write_matrix(df.unionByName(spark.createDataFrame([(9, [1.0])], "row long, embedding array<float>")), f"{tmp_path}/o.npy", "row")
     ids = spark.createDataFrame([(1, "é"), (0, "b")], "rank int, book_id string")
     matrices.write_id_list(ids, f"{tmp_path}/ids.json")
     assert json.loads((tmp_path / "ids.json").read_text()) == ["b", "é"]
