@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.scalars import first_field, joined_names, safe_float, safe_int, text_or_empty
+from foliant.sources.gzip_lines import read_lines
 
 BOOK_DDL = """book_id string, work_id string, title string, title_without_series string, description string, authors array<struct<author_id:string>>, publisher string,
 publication_year string, num_pages string, format string, language_code string, is_ebook string, average_rating string, ratings_count string, text_reviews_count string,
@@ -15,8 +16,8 @@ INTERACTION_DDL = "user_id string, book_id string, is_read tinyint, rating tinyi
 
 
 def read_json_lines(spark: SparkSession, path: str, ddl: str, deal: int | None = None) -> DataFrame:
-    """One object per line, gzipped or not; the lines that aren't come with _bad true. deal: over how many tasks lines are dealt before they are parsed, for files that can't be split, such as gzip."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """One object per line, gzipped or not; the lines that aren't come with _bad true. Gzip files of many members are read by many tasks. deal: over how many tasks lines are dealt before they are parsed, for files that can't be split, such as those of one member."""
+    lines = read_lines(spark, path).where(F.trim("value") != "")
     lines = lines.repartition(deal) if deal else lines
     parsed = lines.select("value", F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     is_object = F.trim("value").startswith("{")
