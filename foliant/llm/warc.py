@@ -20,11 +20,14 @@ from foliant.llm.common import materialise, read_table, scratch_path
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST_DDL = "shard long, file string, records long, bytes long, sha1 string, first_id long, last_id long"
+#: Tasks that read archives, at most.
+MOST_READERS = 10_000
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {digest}')}>"
+def record_id(page_id: int | None, digest: str, nth: int = 0) -> str:
+    """The id of the nth record of a page and a digest; no two records have the same."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {digest}' + (f' {nth}' if nth else ''))}>"
 
 
 def _record(kind: str, ident: str, fields: list[tuple[str, str]], block: bytes, date: str) -> bytes:
@@ -33,8 +36,8 @@ def _record(kind: str, ident: str, fields: list[tuple[str, str]], block: bytes,
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit record of the page refers_to: the same without its payload."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, nth: int = 0) -> bytes:
+    """A response record, or a revisit record of the page refers_to: the same without its payload. nth: how many records of the page and the digest come before it."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     fields = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")]
     if url:
@@ -42,9 +45,9 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if refers_to is None:
-        return _record("response", record_id(page_id, digest), fields, block + payload, date)
+        return _record("response", record_id(page_id, digest, nth), fields, block + payload, date)
     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
-    return _record("revisit", record_id(page_id, digest), fields, block, date)
+    return _record("revisit", record_id(page_id, digest, nth), fields, block, date)
 
 
 def _store(uri: str):
@@ -139,7 +142,7 @@ def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col:
     fields = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, mark = None, None
+        roller, mark, before, nth = None, None, None, 0
         done: list[dict] = []
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -151,7 +154,8 @@ def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col:
                     mark = (page, digest, keep)
                     continue
                 known = mark[2] if mark and mark[:2] == (page, digest) else None
-                done += [x for x in [roller.add(page, page_record(page, url, payload.as_py(), digest, known, date))] if x]
+                before, nth = (page, digest), nth + 1 if before == (page, digest) else 0
+                done += [x for x in [roller.add(page, page_record(page, url, payload.as_py(), digest, known, date, nth))] if x]
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=fields)
                 done = []
@@ -178,44 +182,77 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+class _Summed(io.RawIOBase):
+    """A stream whose bytes are counted and digested as they are read."""
+
+    def __init__(self, stream):
+        self.stream, self.sha1, self.size = stream, hashlib.sha1(), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        read = self.stream.read(len(into))
+        into[: len(read)] = read
+        self.sha1.update(read)
+        self.size += len(read)
+        return len(read)
+
+
+def _page_row(f: dict[str, str], block: bytes, with_payload: bool) -> dict:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    known = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
+    size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+    if f["warc-block-digest"] != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}" or f["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != known):
+        raise ValueError(f"record {f['warc-record-id']} does not match its digest")
+    number = lambda k: int(f[k]) if k in f else None
+    row = {"page_id": number("x-page-id"), "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "refers_to": number("x-refers-to-page-id"), "payload_bytes": size, "payload_digest": known}
+    return row | ({"payload": payload if f["warc-type"] == "response" else None} if with_payload else {})
+
+
 def read_warc(spark: SparkSession, out: str, with_payload: bool = False) -> DataFrame:
-    """The page records of the files that out/_manifest names. Raises if one of them is gone, or has other bytes or another number of records than the manifest says, and if a record doesn't match its digests."""
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out)
-    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    """The page records of the files that out/_manifest names. Raises if one of them is gone, or has other bytes or another number of records than the manifest says, and if a record doesn't match its digests.
+
+    The manifest's rows are what is dealt to tasks; each opens its files and reads them as streams, so no file is held whole, and none is moved."""
     manifest = spark.read.schema(MANIFEST_DDL).parquet(f"{out}/_manifest").select("file", "records", "bytes", "sha1")
-    if gone := [r["file"] for r in manifest.join(files.select("file", "length"), "file", "left").where("length is null or length <> bytes").select("file").limit(5).collect()]:
+    n = min(max(1, manifest.count()), MOST_READERS)
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(out)
+        for batch in batches:
+            sizes = [i.size for i in store.get_file_info([f"{root}/{name}" for name in batch.column(0).to_pylist()])]
+            yield batch.select(["file"]).filter(pa.array([size != want for size, want in zip(sizes, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    if gone := [r["file"] for r in manifest.select("file", "bytes").mapInArrow(lost, "file string").limit(5).collect()]:
         raise FileNotFoundError(f"gone, or not as long as the manifest says: {gone}")
-    files = files.select("file", "content").join(manifest, "file")
     ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())] + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(out)
         for batch in batches:
-            for content, sha1, records in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows, seen, content = [], 0, content.as_py()
-                if hashlib.sha1(content).hexdigest() != sha1:
-                    raise ValueError(f"the file of digest {sha1} has been altered")
-                for f, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
-                    if f["warc-type"] == "warcinfo":
-                        continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    known = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-                    if f["warc-block-digest"] != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}" or f["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != known):
-                        raise ValueError(f"record {f['warc-record-id']} does not match its digest")
-                    number = lambda k, f=f: int(f[k]) if k in f else None
-                    row = {"page_id": number("x-page-id"), "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "refers_to": number("x-refers-to-page-id"), "payload_bytes": size, "payload_digest": known}
-                    seen += 1
-                    rows.append(row | ({"payload": payload if f["warc-type"] == "response" else None} if with_payload else {}))
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
+            for name, records, size, sha1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, seen = [], 0
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    content = _Summed(f)
+                    try:
+                        for found, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BufferedReader(content, 1 << 20)), 1 << 20)):
+                            if found["warc-type"] != "warcinfo":
+                                seen += 1
+                                rows.append(_page_row(found, block, with_payload))
+                            if len(rows) >= 2000:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows = []
+                    except (ValueError, KeyError, EOFError, gzip.BadGzipFile, zlib.error) as e:
+                        raise ValueError(f"{name} has been altered: {e}") from e
+                if (content.size, content.sha1.hexdigest()) != (size, sha1):
+                    raise ValueError(f"{name} has been altered")
                 if seen != records:
-                    raise ValueError(f"{seen} records of {records} in the file of digest {sha1}")
+                    raise ValueError(f"{seen} records of {records} in {name}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("content", "sha1", "records").mapInArrow(run, ddl)
+    return manifest.repartition(n, "file").mapInArrow(run, ddl)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import zlib
 
 import numpy as np
@@ -301,6 +302,17 @@ def test_warc_round_trip(spark, tmp_path):
     again = warc.write_warc(pages, f"file://{tmp_path}/v", roll_bytes=200).collect()
     assert sorted((r.file, r.sha1) for r in manifest) == sorted((r.file, r.sha1) for r in again)
     assert warc.write_warc(pages.where("false"), f"file://{tmp_path}/e").count() == 0
+    records = [f for r in manifest for f, _ in warc.parse_warc(gzip.open(tmp_path / "w" / r.file))]
+    ids = [f["warc-record-id"] for f in records]
+    assert len(ids) == len(set(ids)) == len(rows) + len(manifest)
+    assert {f["warc-refers-to"] for f in records if f["warc-type"] == "revisit"} == {f["warc-record-id"] for f in records if f["warc-type"] == "response" and f["x-page-id"] == "2"}
+
+
+def test_warc_reader_moves_no_contents(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 500) for i in range(40)], "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/w", shard_bytes=5000)
+    plan = warc.read_warc(spark, f"file://{tmp_path}/w", with_payload=True)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "Join" not in plan
 
 
 def test_warc_shards_of_far_ids_and_null_ids(spark, tmp_path):
