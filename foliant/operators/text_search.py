@@ -14,6 +14,7 @@ from foliant.operators.search import top_k_cosine
 
 #: Texts in, a row of numbers for each out.
 Encoder = Callable[[list[str]], np.ndarray]
+# What tells questions from items, and the columns that are shown
 QUERY_PREFIX, ITEM_PREFIX = "search_query: ", "search_document: "
 SHOWN = ("book_id", "title", "average_rating", "ratings_count", "text_reviews_count", "language_code", "score")
 
