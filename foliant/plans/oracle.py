@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foliant.functions import shelves as H
 from foliant.operators.language import MOST_GRAMS
-from foliant.plans.queries import LIKED, VIEWS
+from foliant.plans.queries import LIKED, RAW_BOOKS, VIEWS
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _UNIT = "list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12))"
@@ -72,6 +72,11 @@ SELECT vec_id, CAST(cluster_id AS INTEGER) AS cluster_id, round(list_dot_product
     "dense_index": W("SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_idx FROM (SELECT DISTINCT user_id FROM interactions)"),
     "reviews_english_hybrid": W(f""", {_MODEL}, {_told('review_id', 'review_text', 'reviews')} SELECT review_id, book_id, rating FROM reviews LEFT JOIN told USING (review_id)
 WHERE NOT (rating = 0 AND trim(review_text) = '') AND CASE WHEN trim(language_code) <> '' THEN starts_with(lower(language_code), 'en') WHEN length(trim(review_text)) < 20 THEN false ELSE coalesce(detected = 'en', false) END"""),
+    "books_table_whole": f"""SELECT book_id, work_id, trim(title) AS title, CASE WHEN title_without_series = '' THEN trim(title) ELSE title_without_series END AS title_without_series, publisher AS primary_author_id, description, publisher, format, language_code, image_url, isbn, '' AS isbn13,
+coalesce(TRY_CAST(publication_year AS INTEGER), 0) AS publication_year, CAST(num_pages AS INTEGER) AS num_pages, CAST(ratings_count AS INTEGER) AS ratings_count, coalesce(CAST(text_reviews_count AS INTEGER), 0) AS text_reviews_count, CAST(average_rating AS DOUBLE) AS average_rating, is_ebook = 'true' AS is_ebook, concat('to-read,', shelf) AS popular_shelves
+FROM ({RAW_BOOKS}) WHERE CAST(ratings_count AS INTEGER) >= 1000""",
+    "reviews_table_whole": W(f""", {_MODEL}, {_told('review_id', 'review_text', 'reviews')} SELECT review_id, user_id, book_id, rating, trim(review_text) AS review_text, CAST(n_votes AS INTEGER) AS n_votes, 0 AS n_comments, '2017' AS date_added FROM reviews LEFT JOIN told USING (review_id)
+WHERE book_id IN (SELECT book_id FROM books WHERE ratings_count >= 1000) AND NOT (rating = 0 AND trim(review_text) = '') AND CASE WHEN trim(language_code) <> '' THEN starts_with(lower(language_code), 'en') WHEN length(trim(review_text)) < 20 THEN false ELSE coalesce(detected = 'en', false) END"""),
     "language_detected": f"WITH {_MODEL}, {_told('doc_id', 'text', 'documents')} SELECT doc_id, doc_id % 4 = 2 AS held_out, CASE WHEN text IS NOT NULL THEN coalesce(detected, 'und') END AS detected FROM documents LEFT JOIN told USING (doc_id)",
     "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1",
     "dedupe_content": W("SELECT review_id, book_id FROM reviews QUALIFY row_number() OVER (PARTITION BY book_id, user_id, review_text ORDER BY CAST(review_id AS BIGINT)) = 1"),

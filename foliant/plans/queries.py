@@ -11,7 +11,7 @@ from foliant.functions import vectors as V
 from foliant.operators import checks, clustering, labels, search, serve, summaries, tables, text_search
 from foliant.operators.encoder import fit_encoder
 from foliant.operators.language import strict_english, train_languages
-from foliant.sources.raw import is_english, line_id, lines_of
+from foliant.sources.raw import BOOK_DDL, books_table, is_english, line_id, lines_of, parse_json_lines, reviews_table
 from foliant.sources.scratch import materialise
 
 BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, p_name AS title, concat(p_type, ' ', p_brand) AS description, p_brand AS publisher,
@@ -106,6 +106,26 @@ def _book_rows(spark, d):
     return b.select("book_id", S.text_or_empty(F.col("title")).alias("title"), S.safe_int(F.col("num_pages")).alias("num_pages"), S.safe_float(F.col("average_rating")).alias("average_rating"), "ratings_count", "popular_shelves")
 
 
+RAW_BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, concat('w', CAST(p_partkey % 500 AS STRING)) AS work_id, concat(' ', p_name, ' ') AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(p_name, ' (1)') END AS title_without_series,
+  concat(p_type, ' ', p_brand) AS description, p_brand AS publisher, CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE CAST(1900 + p_size AS STRING) END AS publication_year, CAST(p_size * 40 AS STRING) AS num_pages, 'Paperback' AS format, 'eng' AS language_code,
+  CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS is_ebook, CAST(CAST(p_partkey * 37 % 401 AS INT) AS STRING) AS average_rating, CAST(p_partkey * 7919 % 5000 AS STRING) AS ratings_count, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_partkey * 31 % 97 AS STRING) END AS text_reviews_count,
+  concat('http://x/', CAST(p_partkey AS STRING)) AS image_url, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('i', CAST(p_partkey AS STRING)) END AS isbn, CAST(NULL AS STRING) AS isbn13, lower(p_type) AS shelf FROM part"""
+
+
+def _whole_books(spark, d):
+    """All columns of the books' table, from lines of JSON."""
+    raw = spark.sql(RAW_BOOKS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    raw = raw.withColumn("authors", F.array(F.struct(F.col("publisher").alias("author_id")))).withColumn("popular_shelves", F.transform(F.array(F.lit("to-read"), F.lit(""), F.col("shelf")), lambda n: F.struct(n.alias("name")))).drop("shelf")
+    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+    return books_table(parse_json_lines(lines, BOOK_DDL), 1000).withColumn("average_rating", F.col("average_rating").cast("double"))
+
+
+def _whole_reviews(spark, d):
+    """All columns of the reviews' table, of the books with ratings enough."""
+    raw = reviews(spark, d).select("review_id", "user_id", "book_id", F.col("rating").cast("string").alias("rating"), F.concat(F.lit(" "), "review_text", F.lit(" ")).alias("review_text"), "language_code", F.col("n_votes").cast("string").alias("n_votes"), F.lit("x").alias("n_comments"), F.lit("2017").alias("date_added"), F.lit(False).alias("_bad"))
+    return reviews_table(raw, books(spark, d).where("ratings_count >= 1000").select("book_id"), _languages(spark, d).detect)
+
+
 def _active(spark, d):
     return tables.active_users(interactions(spark, d), _book_rows(spark, d), 20).groupBy("user_id").agg(F.count("*").alias("n"))
 
@@ -485,7 +505,7 @@ def _checked(spark, d):
 QUERIES = {
     "similar_items_topk": _similar, "vector_l2_normalize": _normalized, "layernorm_truncate_l2": _layernorm, "recency_weights": _weights, "recommend_topn": _recommend, "coldstart_top_rated": _cold,
     "cluster_assign_step": _assign, "cluster_rank_representatives": _ranked, "spherical_kmeans": _kmeans, "books_filter_project": _book_rows, "interactions_active_users": _active, "dense_index": _index,
-    "reviews_english_hybrid": _english, "language_detected": _detected, "dedupe_first": _first, "dedupe_content": _content, "dedupe_last": _last, "validate_summary": _validate, "rating_histogram": _histogram, "catalog_sample": _catalog,
+    "reviews_english_hybrid": _english, "language_detected": _detected, "books_table_whole": _whole_books, "reviews_table_whole": _whole_reviews, "dedupe_first": _first, "dedupe_content": _content, "dedupe_last": _last, "validate_summary": _validate, "rating_histogram": _histogram, "catalog_sample": _catalog,
     "catalog_stats": _catalog_stats, "proto_top_items": _proto, "review_quality_gate": _gate, "clean_drop_reasons": _reasons, "stratified_waterfall_sample": _sample, "rating_stats": _stats,
     "rating_distribution_text": _distribution, "reviews_text_block": _block, "llm_input_join": _llm_input, "top_reviews_concat": _top_reviews, "search_text": _search_text, "shelf_clean_counts": _shelf_counts,
     "cluster_label_scores": _label_scores, "cluster_labels": _labels, "pending_anti_join": _pending, "jsonl_tolerant_parse": _jsonl, "tags_normalize": _tags, "ui_cache_join": _ui, "result_enrichment": _enriched,

@@ -17,8 +17,13 @@ INTERACTION_DDL = "user_id string, book_id string, is_read tinyint, rating tinyi
 
 def read_json_lines(spark: SparkSession, path: str, ddl: str, deal: int | None = None) -> DataFrame:
     """One object per line, gzipped or not; the lines that aren't come with _bad true. Gzip files of many members are read by many tasks. deal: over how many tasks lines are dealt before they are parsed, for files that can't be split, such as those of one member."""
-    lines = read_lines(spark, path).where(F.trim("value") != "")
-    lines = lines.repartition(deal) if deal else lines
+    lines = read_lines(spark, path)
+    return parse_json_lines(lines.repartition(deal) if deal else lines, ddl)
+
+
+def parse_json_lines(lines: DataFrame, ddl: str) -> DataFrame:
+    """The objects of lines (value), blank ones left out; those that aren't objects, or aren't whole, come with _bad true."""
+    lines = lines.where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     is_object = F.trim("value").startswith("{")
     return parsed.select("r.*", is_object.alias("_object")).withColumn("_bad", F.col("_bad").isNotNull() | ~F.col("_object")).drop("_object")
