@@ -38,6 +38,11 @@ def expect_group_size(df: DataFrame, key: str, size: int) -> None:
     expect_none(df.groupBy(key).count().where(F.col("count") != size), f"groups of {key} that are not of {size}")
 
 
+def expect_in(df: DataFrame, column: str, values: list) -> None:
+    """Every value is one of values; null is none."""
+    expect_none(df.where(~F.coalesce(F.col(column).isin(values), F.lit(False))).select(column).distinct(), f"{column} is none of {values}")
+
+
 def expect_rows(df: DataFrame, least: int, what: str) -> DataFrame:
     if (n := df.limit(least).count()) < least:
         raise ValueError(f"{what}: {n} rows, {least} needed")

@@ -43,11 +43,13 @@ def cold_start(books: DataFrame, n: int = 5) -> DataFrame:
     return books.orderBy(F.desc("average_rating"), F.desc("ratings_count"), "book_id").limit(n).withColumn("similarity", F.lit(None).cast("double"))
 
 
-def ui_cache(final: DataFrame, books: DataFrame, key: str = "book_id") -> DataFrame:
-    """Final rows with their books' columns; raises if a title is missing."""
+def ui_cache(final: DataFrame, books: DataFrame, key: str = "book_id", size: int | None = None) -> DataFrame:
+    """Final rows with their books' columns; raises if a title is missing, or, with size, for another number of rows."""
     from foliant.operators.checks import expect_none
 
     joined = final.join(dedupe(books, [key], [F.col("title")]), key, "left")
+    if size is not None and (n := joined.count()) != size:
+        raise ValueError(f"{n} rows, {size} expected")
     expect_none(joined.where("title is null").select(key), "no title")
     return joined
 
@@ -80,6 +82,7 @@ def neighborhood(members: DataFrame, cluster_id: int, show: int | None = 10, det
     return (own if details is None else enrich(own, details, key)).orderBy("cluster_rank")
 
 
+# The captions' wording
 def shown_caption(total: int, show: int | None) -> str:
     return f"All {total} books in this neighborhood" if show is None else f"Top {min(show, total)} most central to this neighborhood"
 

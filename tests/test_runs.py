@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars as S
-from foliant.operators import client, search, summaries, tables
+from foliant.operators import checks, client, search, serve, summaries, tables
 from foliant.plans.job import preprocess
 from foliant.sources import raw, versions
 from foliant.streaming import resume
@@ -235,6 +235,14 @@ def test_small_rules(spark, tmp_path):
     assert shares == {"scored": (1, 3, 1 / 3), "all": (3, 3, 1.0)}
     bins = tables.histogram(spark.createDataFrame([(0.0,), (9.9,), (10.0,), (11.0,), (None,)], "x double"), "x", 4, 0, 10).orderBy("bin").collect()
     assert [(r.bin, r.low, r.n) for r in bins] == [(0, 0.0, 1), (1, 2.5, 0), (2, 5.0, 0), (3, 7.5, 2)]
+    ratings = spark.createDataFrame([(1,), (5,), (6,), (None,)], "rating int")
+    checks.expect_in(ratings.where("rating < 6"), "rating", [1, 2, 3, 4, 5])
+    with pytest.raises(ValueError, match="6"):
+        checks.expect_in(ratings, "rating", [1, 2, 3, 4, 5])
+    final, books = spark.createDataFrame([("1",)], "book_id string"), spark.createDataFrame([("1", "T")], "book_id string, title string")
+    assert serve.ui_cache(final, books, size=1).count() == 1
+    with pytest.raises(ValueError, match="2 expected"):
+        serve.ui_cache(final, books, size=2)
     v = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in search.unknown_favorites(v, search.favorites_frame(spark, [(0, 1), (1, 9)])).collect()] == [9]
     assert raw.sample_rows(spark, f"{tmp_path}/ids.json", "a string", 5).count() == 0
