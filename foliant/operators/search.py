@@ -22,9 +22,10 @@ def similar_items(items: DataFrame, item_id, k: int, id_col: str = "vec_id", vec
     return top_k_cosine(items.where(F.col(id_col) != item_id), row[0], k, id_col, vector)
 
 
-def recency_weights(favorites: DataFrame) -> DataFrame:
-    """pos and weight: linear, newest four times the oldest, summing to 1."""
-    n, i = F.count("*").over(Window.partitionBy()), F.row_number().over(Window.orderBy("pos")) - 1
+def recency_weights(favorites: DataFrame, by: str | None = None) -> DataFrame:
+    """favorites with weight: linear by pos, newest four times the oldest, summing to 1; with by, for each of its values by itself."""
+    keys = [by] if by else []
+    n, i = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
     return favorites.withColumn("weight", F.when(n == 1, F.lit(1.0)).otherwise((F.lit(0.4) + F.lit(1.2) * i / (n - 1)) / n))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foliant.functions import shelves as H
 from foliant.operators.language import MOST_GRAMS
-from foliant.plans.queries import LIKED, RAW_BOOKS, VIEWS
+from foliant.plans.queries import LIKED, RAW_BOOKS, RAW_TAGS, VIEWS
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _UNIT = "list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12))"
@@ -59,7 +59,8 @@ ORACLE = {
     "vector_l2_normalize": f"WITH v AS (SELECT vec_id, {_E} AS e FROM embeddings), u AS (SELECT vec_id, {_UNIT} AS u FROM v) SELECT vec_id, round(u[1], 6) AS first, round(sqrt(list_dot_product(u, u)), 6) AS length FROM u",
     "layernorm_truncate_l2": f"""WITH v AS (SELECT vec_id, {_E} AS a FROM embeddings), m AS (SELECT vec_id, a, list_avg(a) AS m FROM v), s AS (SELECT vec_id, list_transform(a, lambda x: (x - m) / sqrt(list_avg(list_transform(a, lambda z: (z - m) * (z - m))) + 1e-5))[1:32] AS e FROM m),
 u AS (SELECT vec_id, {_UNIT} AS u FROM s) SELECT vec_id, round(u[1], 6) AS first, round(u[32], 6) AS last, CAST(len(u) AS INTEGER) AS width FROM u""",
-    "recency_weights": "SELECT CAST(i AS INTEGER) AS pos, round((0.4::DOUBLE + 1.2::DOUBLE * i / 3) / 4, 6) AS weight FROM range(4) t(i)",
+    "recency_weights": """WITH k AS (SELECT o_custkey AS user_id, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT user_id, pos, round(CASE WHEN n = 1 THEN 1 ELSE (0.4::DOUBLE + 1.2::DOUBLE * i / (n - 1)) / n END, 6) AS weight FROM k""",
     "recommend_topn": f"WITH {_RECOMMENDED} SELECT rank, vec_id, title, average_rating, similarity FROM rec",
     "recommendations_personal": f"""{VIEWS}, {_RECOMMENDED} SELECT rank, book_id, b.title, rec.average_rating, similarity AS score, publisher, num_pages, 'personalized' AS mode FROM rec LEFT JOIN books b ON book_id = CAST(vec_id AS STRING)""",
     "coldstart_top_rated": W("SELECT book_id, title, average_rating, CAST(NULL AS DOUBLE) AS similarity FROM books ORDER BY average_rating DESC, ratings_count DESC, book_id LIMIT 5"),
@@ -108,7 +109,8 @@ q AS (SELECT *, raw * CASE WHEN name IN {_list(H.GENERIC_DISPLAYS)} THEN 0.15::D
 SELECT cluster_id, name, round(raw, 4) AS raw, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, raw DESC, name) AS INTEGER) AS place FROM q"""),
     "pending_anti_join": "SELECT o_orderkey AS book_id, o_orderstatus FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 3 = 0)",
     "jsonl_tolerant_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE props IS NOT NULL AND json_valid(props)",
-    "tags_normalize": "SELECT * FROM (VALUES (1, 'a|b'), (2, 'plain'), (3, ''), (4, ''), (5, '')) t(id, tags)",
+    "tags_normalize": f"""WITH r AS ({RAW_TAGS}), t AS (SELECT id, CASE WHEN starts_with(raw, '[') THEN CAST(from_json(replace(raw, chr(39), '"'), '["VARCHAR"]') AS VARCHAR[]) WHEN raw IS NULL THEN [] ELSE [raw] END AS tags FROM r)
+SELECT id, array_to_string(list_filter(list_transform(tags, lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM t""",
     "ui_cache_join": W(f", {CATALOG} SELECT c.book_id, b.title, publisher, num_pages, average_rating FROM c LEFT JOIN books b USING (book_id)"),
     "result_enrichment": f"{VIEWS}, {SIMILAR} SELECT CAST(vec_id AS STRING) AS book_id, score, title, CASE WHEN title IS NOT NULL THEN 0 END AS score_ui FROM sim LEFT JOIN books ON book_id = CAST(vec_id AS STRING)",
     "search_page": f"WITH {SIMILAR}, r AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank, * FROM sim) SELECT * FROM r WHERE rank BETWEEN 5 AND 8",

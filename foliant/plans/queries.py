@@ -62,7 +62,8 @@ def _layernorm(spark, d):
 
 
 def _weights(spark, d):
-    return search.recency_weights(search.favorites_frame(spark, FAVORITES)).select("pos", F.round("weight", 6).alias("weight"))
+    favorites = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("pos"))
+    return search.recency_weights(favorites, "user_id").select("user_id", "pos", F.round("weight", 6).alias("weight"))
 
 
 def _recommend(spark, d):
@@ -106,6 +107,8 @@ def _book_rows(spark, d):
     return b.select("book_id", S.text_or_empty(F.col("title")).alias("title"), S.safe_int(F.col("num_pages")).alias("num_pages"), S.safe_float(F.col("average_rating")).alias("average_rating"), "ratings_count", "popular_shelves")
 
 
+RAW_TAGS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN concat('["', p_type, '"," ', p_brand, ' ",""]') WHEN 1 THEN concat(' ', p_name) WHEN 2 THEN '[]' WHEN 3 THEN NULL WHEN 4 THEN ' '
+  ELSE concat('[', chr(39), p_brand, chr(39), ', ', chr(39), ' x', chr(39), ']') END AS raw FROM part"""
 RAW_BOOKS = """SELECT CAST(p_partkey AS STRING) AS book_id, concat('w', CAST(p_partkey % 500 AS STRING)) AS work_id, concat(' ', p_name, ' ') AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(p_name, ' (1)') END AS title_without_series,
   concat(p_type, ' ', p_brand) AS description, p_brand AS publisher, CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE CAST(1900 + p_size AS STRING) END AS publication_year, CAST(p_size * 40 AS STRING) AS num_pages, 'Paperback' AS format, 'eng' AS language_code,
   CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS is_ebook, CAST(CAST(p_partkey * 37 % 401 AS INT) AS STRING) AS average_rating, CAST(p_partkey * 7919 % 5000 AS STRING) AS ratings_count, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_partkey * 31 % 97 AS STRING) END AS text_reviews_count,
@@ -256,7 +259,7 @@ def _jsonl(spark, d):
 
 
 def _tags(spark, d):
-    rows = spark.createDataFrame([(1, '["a"," b ",""]'), (2, "plain"), (3, "[]"), (4, None), (5, " ")], "id int, raw string")
+    rows = spark.sql(RAW_TAGS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
     return rows.select("id", F.array_join(S.tag_list(F.col("raw")), "|").alias("tags"))
 
 
