@@ -327,3 +327,14 @@ def test_warc_shards_of_far_ids_and_null_ids(spark, tmp_path):
     assert sorted((r.page_id is None, r.page_id) for r in warc.read_warc(spark, out).select("page_id").collect()) == sorted((i is None, i) for i, *_ in rows)
     again = warc.write_warc(pages.repartition(7), f"file://{tmp_path}/v", shard_bytes=4000, roll_bytes=1 << 20).collect()
     assert {(r.file, r.sha1) for r in manifest} == {(r.file, r.sha1) for r in again}
+
+
+def test_ann_query_has_its_recall_at_its_own_parameters(spark):
+    """The registered query on sf0.1 against brute force."""
+    got: dict = {}
+    for r in ann.op8_ann(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    hits = sum(len(found & set([i for i in ids[np.lexsort((ids, ((x - x[ids == q][0]) ** 2).sum(1)))] if i != q][:10])) for q, found in got.items())
+    assert len(got) == 20 and hits >= 9 * len(got)
