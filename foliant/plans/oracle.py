@@ -62,7 +62,7 @@ u AS (SELECT vec_id, {_UNIT} AS u FROM s) SELECT vec_id, round(u[1], 6) AS first
     "recency_weights": """WITH k AS (SELECT o_custkey AS user_id, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
 SELECT user_id, pos, round(CASE WHEN n = 1 THEN 1 ELSE (0.4::DOUBLE + 1.2::DOUBLE * i / (n - 1)) / n END, 6) AS weight FROM k""",
     "recommend_topn": f"WITH {_RECOMMENDED} SELECT rank, vec_id, title, average_rating, similarity FROM rec",
-    "recommendations_personal": f"""{VIEWS}, {_RECOMMENDED} SELECT rank, book_id, b.title, rec.average_rating, similarity AS score, publisher, num_pages, 'personalized' AS mode FROM rec LEFT JOIN books b ON book_id = CAST(vec_id AS STRING)""",
+    "recommendations_personal": f"""{VIEWS}, {_RECOMMENDED} SELECT rank, CAST(vec_id AS STRING) AS book_id, rec.title, rec.average_rating, similarity AS score, publisher, num_pages, 'personalized' AS mode FROM rec LEFT JOIN books b ON book_id = CAST(vec_id AS STRING)""",
     "coldstart_top_rated": W("SELECT book_id, title, average_rating, CAST(NULL AS DOUBLE) AS similarity FROM books ORDER BY average_rating DESC, ratings_count DESC, book_id LIMIT 5"),
     "cluster_assign_step": f"""WITH v AS (SELECT vec_id, label, {_E} AS e FROM embeddings), c AS (SELECT label, list(s ORDER BY j) AS e FROM (SELECT label, j, sum(e[j]) AS s FROM v, range(1, 65) t(j) GROUP BY 1, 2) GROUP BY label),
 u AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cluster_id, {_UNIT} AS u FROM c), n AS (SELECT vec_id, {_UNIT} AS x FROM v)
