@@ -30,8 +30,8 @@ def active_users(interactions: DataFrame, books: DataFrame, least: int) -> DataF
     """
     rated = interactions.where("rating > 0 and user_id is not null").join(books.select("book_id"), "book_id", "left_semi")
     dealt = rated.withColumn("_group", F.pmod(F.xxhash64(*(F.col(c) for c in rated.columns if c != "user_id")), F.lit(DEALT)).cast("int"))
-    own = Window.partitionBy("user_id", "_group")
-    dealt = dealt.withColumns({"_n": F.count("*").over(own), "_first": F.row_number().over(own.orderBy("_group")) == 1})
+    own = Window.partitionBy("user_id", "_group").orderBy("_group")  # one order for both, so that one pass makes them
+    dealt = dealt.withColumns({"_n": F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_first": F.row_number().over(own) == 1})
     stays = (F.col("_n") >= least) & ~F.col("_first")
     dealt = dealt.withColumn("_group", F.when(stays, F.col("_group")).otherwise(-1))
     total = F.sum(F.when(F.col("_first"), F.col("_n")).otherwise(0)).over(Window.partitionBy("user_id", "_group"))
