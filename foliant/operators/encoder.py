@@ -50,7 +50,8 @@ class TextEncoder:
 
 def weighted(text: str, terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of a text's known terms; the weights have length 1."""
-    counts = Counter(terms[w] for w in words_of(text) if w in terms)
+    counts = Counter(map(terms.get, words_of(text)))
+    counts.pop(None, None)
     at = np.fromiter(counts, np.int64, len(counts))
     w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[at]
     return at, w / np.linalg.norm(w) if len(w) else w
@@ -73,9 +74,15 @@ def parts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+
+
 def gram_product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A' A right, for sparse rows (at array<int>, weight array<float>) of A. Each task adds its rows up, hands on the places it met, block by block, and blocks are summed in tasks of their own."""
+    """A' A right, for sparse rows (at array<int>, weight array<float>) of A. Each task adds its rows up, in single precision a run of rows at a time and in double from run to run, hands on the places it met in single precision, block by block, and blocks are summed in tasks of their own."""
     places, width = right.shape
+    right = right.astype(np.float32)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, met = np.zeros((places, width)), np.zeros(places, bool)
@@ -87,7 +94,7 @@ def gram_product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
                 if len(at):
                     own = np.flatnonzero(lengths)
                     first = (np.cumsum(lengths) - lengths)[own]
-                    y = np.zeros((len(lengths), width))
+                    y = np.zeros((len(lengths), width), np.float32)
                     y[own] = np.add.reduceat(w[:, None] * right[at], first)
                     order = np.argsort(at, kind="stable")
                     places_met, begin = np.unique(at[order], return_index=True)
@@ -95,23 +102,23 @@ def gram_product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
                     met[places_met] = True
         own = np.flatnonzero(met)
         for part in np.array_split(own, max(1, len(own) // 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array(part % BLOCKS, pa.int32()), pa.array(part, pa.int32()), pa.array(total[part].tolist(), pa.list_(pa.float64()))], names=["block", "place", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(part % BLOCKS, pa.int32()), pa.array(part, pa.int32()), _lists(total[part].astype(np.float32))], names=["block", "place", "sums"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for place, sums in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                total[place] = total[place] + np.array(sums) if place in total else np.array(sums)
+            for place, sums in zip(b.column(1).to_pylist(), np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(-1, width), strict=True):
+                total[place] = total[place] + sums if place in total else sums
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["place", "sums"])
 
-    partials = rows.select("at", "weight").mapInArrow(partial, "block int, place int, sums array<double>")
+    partials = rows.select("at", "weight").mapInArrow(partial, "block int, place int, sums array<float>")
     out = np.zeros((places, width))
     for r in partials.repartition("block").mapInArrow(summed, "place int, sums array<double>").collect():
         out[r["place"]] = r["sums"]
     return out
 
 
-def fit_encoder(items: DataFrame, text: str = "search_text", *, width: int = 64, most_terms: int = 20_000, least_texts: int = 2, rounds: int = 4, seed: int = 42) -> TextEncoder:
+def fit_encoder(items: DataFrame, text: str = "search_text", *, width: int = 64, most_terms: int = 20_000, least_texts: int = 2, rounds: int = 2, seed: int = 42) -> TextEncoder:
     """An encoder for the texts of items: the most_terms commonest terms of least_texts texts or more (ties: alphabetically), and the width strongest directions of their TF-IDF rows.
 
     Terms are counted over all texts, and every text takes part in every round. The rows are written once, as places and weights; a round reads them in one pass.
@@ -132,9 +139,9 @@ def fit_encoder(items: DataFrame, text: str = "search_text", *, width: int = 64,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [weighted(t or "", terms, idf) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([at.tolist() for at, _ in rows], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in rows], pa.list_(pa.float64()))], names=["at", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([at.tolist() for at, _ in rows], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in rows], pa.list_(pa.float32()))], names=["at", "weight"])
 
-    rows = materialise(items.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "at array<int>, weight array<double>"), "tf-idf")
+    rows = materialise(items.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "at array<int>, weight array<float>"), "tf-idf")
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), most)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(gram_product(rows, q))[0]
