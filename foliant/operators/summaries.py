@@ -29,7 +29,7 @@ def latest(log: DataFrame, key: str = "book_id") -> DataFrame:
 
 
 #: What the client is to answer with; its field names are fixed by the outputs' columns.
-RESPONSE_NAME = "generate_review_summary"
+RESPONSE_NAME = "review_summary"
 RESPONSE_SCHEMA = {
     "type": "object",
     "additionalProperties": False,
